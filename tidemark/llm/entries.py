@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, tokens
 from tidemark.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_token_counts": lambda s, d: tokens.token_counts(table(s, d, "documents")),
+        "op6_bpe": lambda s, d: tokens.encode_decode(table(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.op8_mixing(table(s, d, "documents")),
     }
 
