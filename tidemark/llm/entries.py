@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, tokens, toxicity
+from tidemark.llm import langid, mixing, tokens, toxicity
 from tidemark.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": lambda s, d: toxicity.op1_toxicity(table(s, d, "documents"), table(s, d, "labels")),
+        "op4_language_id": lambda s, d: langid.op4_language_id(table(s, d, "documents")),
         "op5_token_counts": lambda s, d: tokens.token_counts(table(s, d, "documents")),
         "op6_bpe": lambda s, d: tokens.encode_decode(table(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.op8_mixing(table(s, d, "documents")),

@@ -9,7 +9,7 @@ The labels say only toxic or not. Grade 0 is not toxic; toxic rows are split int
 the median number of distinct terms that a first fit of one threshold weighs as toxic.
 
 Training takes at most `most` labelled rows, those with the least hash of their id (a documented bound);
-all rows are scored. Cases: null or empty text has no feature and gets the intercepts' severity, rows
+all rows are scored. Cases: null or empty text, and text without any weighed feature, has severity 0; rows
 without a label are scored alike, rows repeated score alike, labels with a null are left out; with no
 labelled row, or labels of one kind only, every severity is 0 (or the only grade); an empty table gives an
 empty result.
@@ -171,7 +171,7 @@ def severity(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: st
             row, feature = features(data, offsets)
             live = weights[feature] != 0
             key = np.unique(row[live] << BITS | feature[live])
-            p = mine.passed(key >> BITS, key & (1 << BITS) - 1, n)
+            p = mine.passed(key >> BITS, key & (1 << BITS) - 1, n) * np.isin(np.arange(n), key >> BITS)[:, None]
             chance = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)
             any_ = p[:, 0] if p.shape[1] else np.zeros(n)
             return {"severity": p.sum(1), "p_toxic": any_, "grade": np.argmax(chance[:, :-1] - chance[:, 1:], axis=1).astype(np.int32), "toxic": any_ >= 0.5}
