@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, mixing, tokens, toxicity
+from tidemark.llm import fingerprints, langid, mixing, tokens, toxicity
 from tidemark.llm.common import table
 
 
@@ -16,9 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": lambda s, d: langid.op4_language_id(table(s, d, "documents")),
         "op5_token_counts": lambda s, d: tokens.token_counts(table(s, d, "documents")),
         "op6_bpe": lambda s, d: tokens.encode_decode(table(s, d, "documents")),
+        "op7_fingerprints": lambda s, d: fingerprints.op7_fingerprints(table(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.op8_mixing(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.OP8_SQL}
+    return {"op7_fingerprints": fingerprints.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
