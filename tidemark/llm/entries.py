@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, htmltext, langid, mixing, tokens, toxicity
+from tidemark.llm import embeddings, fingerprints, htmltext, langid, mixing, tokens, toxicity
 from tidemark.llm.common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fingerprints": lambda s, d: fingerprints.op7_fingerprints(table(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.op8_mixing(table(s, d, "documents")),
         "op9_html_text": lambda s, d: htmltext.op9_html_text(table(s, d, "pages")),
+        "op10_embeddings": lambda s, d: embeddings.op10_embeddings(table(s, d, "embeddings")),
     }
 
 
