@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import embeddings, fingerprints, htmltext, jaccard, langid, mixing, tokens, toxicity
+from tidemark.llm import embeddings, fingerprints, htmltext, jaccard, langid, mixing, substrings, tokens, toxicity
 from tidemark.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": lambda s, d: toxicity.op1_toxicity(table(s, d, "documents"), table(s, d, "labels")),
+        "op2_substrings": lambda s, d: substrings.op2_substrings(table(s, d, "documents")),
         "op3_jaccard": lambda s, d: jaccard.op3_jaccard(table(s, d, "documents")),
         "op4_language_id": lambda s, d: langid.op4_language_id(table(s, d, "documents")),
         "op5_token_counts": lambda s, d: tokens.token_counts(table(s, d, "documents")),
