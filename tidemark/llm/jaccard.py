@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, cut, map_text, text_slices
@@ -251,7 +251,7 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, perce
 
 
 def classes(docs: DataFrame, words: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, set_id, component) of every row; component: the least doc_id reachable by links.
+    """(doc_id, row_id, n_shingles, set_id, root, component) of every row; root: a set_id that names the class; component: the least doc_id reachable by links.
 
     A set's text is looked up by one of its rows: by its doc_id and, as doc_ids may repeat or be null, the
     text's own hash. Rows that agree in both repeat a check, which changes no result.
@@ -283,9 +283,21 @@ def classes(docs: DataFrame, words: int, percent: int, text: str = "text", key:
         roots = components(linked)
     named = sets.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("component", "set_id").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(names, "root").select("set_id", "component")
+    named = named.join(names, "root").select("set_id", "root", "component")
     grouped = known.join(named.withColumnRenamed("set_id", "s_"), F.expr("n_shingles > 0 and set_id = s_"), "left")
-    return grouped.select("doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+    return grouped.select("doc_id", "row_id", "n_shingles", "set_id", "root", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay: of each class the one with the least doc_id (null ids last), and all rows without a shingle. Columns as in docs."""
+    found = classes(docs, words, percent, text, key).where("n_shingles > 0")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("r_"))
+    kept = kept.select(F.col("r_.doc_id").alias("keep__id"), F.col("r_.row_id").alias("keep__row"))
+    rows = docs.withColumns({"own__id": F.col(key), "own__row": F.xxhash64(text)})
+    wordless = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    staying = rows.where(~wordless).join(kept, F.expr("own__id <=> keep__id and own__row = keep__row"))
+    once = staying.withColumn("own__n", F.row_number().over(Window.partitionBy("own__id", "own__row").orderBy(F.lit(1)))).where("own__n = 1")
+    return once.select(*docs.columns).unionByName(rows.where(wordless).select(*docs.columns))
 
 
 def op3_jaccard(docs: DataFrame) -> DataFrame:

@@ -45,46 +45,38 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
 
 
 def with_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every document."""
+    """docs with mix__size, mix__source_size, mix__target and mix__copies, how often the mix takes each row."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"))
-    bits = F.length(F.bin("size"))
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = rows.withColumn("class", bits * 8 + F.expr("cast(shiftright(size, greatest(length(bin(size)) - 4, 0)) & 7 as int)")).withColumn("hash", order).withColumn("part", F.substring("hash", 1, 2))
-    bucket = ["source", "class", "part"]
+    rows = docs.withColumn("mix__size", size)
+    kind = "cast(length(bin(mix__size)) * 8 + (shiftright(mix__size, greatest(length(bin(mix__size)) - 4, 0)) & 7) as int)"
+    rows = rows.withColumns({"mix__source": F.col("source"), "mix__class": F.expr(kind), "mix__hash": order, "mix__part": F.substring(order, 1, 2)})
+    bucket = ["mix__source", "mix__class", "mix__part"]
     counts = rows.groupBy(*bucket).agg(F.count("*").alias("n"))
-    first = F.sum("n").over(Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*(F.col(c).alias(f"{c}_") for c in bucket), F.coalesce(first, F.lit(0)).alias("first"))
-    targets = source_targets(rows, weights, share, most)
-    targets = targets.withColumnsRenamed({"source": "source__"})
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|offset|"), F.coalesce("source", F.lit("\0")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*bucket).orderBy("hash", "doc_id")))
-    ranked = ranked.join(counts, F.expr(" and ".join(f"{c} <=> {c}_" for c in bucket))).join(targets, F.expr("source <=> source__"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place = (F.col("first") + F.col("rank")).cast("double")
-    copies = F.floor(F.col("rate") * place + F.col("u")) - F.floor(F.col("rate") * (place - 1) + F.col("u"))
-    ranked = ranked.withColumns({"rate": rate, "u": u})
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    first = F.sum("n").over(Window.partitionBy("mix__source").orderBy("mix__class", "mix__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*(F.col(c).alias(f"{c}_") for c in bucket), F.coalesce(first, F.lit(0)).alias("mix__first"))
+    targets = source_targets(rows.select(F.col("source"), F.col("mix__size").alias("size")), weights, share, most)
+    targets = targets.withColumnsRenamed({"source": "mix__of", "source_size": "mix__source_size", "target": "mix__target"})
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|offset|"), F.coalesce("mix__source", F.lit("\0")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    ranked = rows.withColumn("mix__rank", F.row_number().over(Window.partitionBy(*bucket).orderBy("mix__hash", "doc_id")))
+    ranked = ranked.join(counts, F.expr(" and ".join(f"{c} <=> {c}_" for c in bucket))).join(targets, F.expr("mix__source <=> mix__of"))
+    rate = F.when(F.col("mix__source_size") > 0, F.col("mix__target") / F.col("mix__source_size")).otherwise(F.lit(0.0))
+    place = (F.col("mix__first") + F.col("mix__rank")).cast("double")
+    ranked = ranked.withColumns({"mix__rate": rate, "mix__u": u, "mix__place": place})
+    copies = F.expr("floor(mix__rate * mix__place + mix__u) - floor(mix__rate * (mix__place - 1) + mix__u)").cast("long")
+    return ranked.select(*docs.columns, "mix__size", "mix__source_size", "mix__target", copies.alias("mix__copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents, each as often as the mix takes it, with all their columns.
-
-    Copies are attached by doc_id; rows that share a doc_id are told apart by the row's own hash and may
-    be taken unequally often only if they differ in size or source.
-    """
-    cols = docs.columns
-    taken = with_copies(docs, **options).select(F.col("doc_id").alias("doc_id__"), F.col("source").alias("source__"), F.col("size").alias("size__"), "copies")
-    taken = taken.groupBy("doc_id__", "source__", "size__").agg(F.sort_array(F.collect_list("copies")).alias("copies__"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = docs.withColumn("size___", size)
-    joined = rows.join(taken, F.expr("doc_id <=> doc_id__ and source <=> source__ and size___ <=> size__"))
-    return joined.withColumn("copy__", F.explode(F.expr("case when copies__[0] > 0 then sequence(1L, copies__[0]) else array() end"))).select(*cols)
+    """The rows of docs, each as often as the mix takes it, with all their columns."""
+    taken = with_copies(docs, **options).where("mix__copies > 0")
+    return taken.withColumn("mix__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix__copies")))).select(*docs.columns)
 
 
 def op8_mixing(docs: DataFrame) -> DataFrame:
-    rows = with_copies(docs)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    rows = with_copies(docs.select("doc_id", "source", "text"))
+    taken = (F.col("mix__copies") * F.col("mix__size")).alias("taken")
+    return rows.select("doc_id", F.col("mix__size").alias("size"), F.col("mix__source_size").alias("source_size"), F.col("mix__target").alias("target"), taken, "source", F.col("mix__copies").alias("copies"))
 
 
 OP8_SQL = r"""

@@ -379,5 +379,16 @@ def without_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", tex
     return rows.select(*keep, "s__text", "s__spans").mapInArrow(_cut_out(keep, texts), f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if texts else ""))
 
 
+def cleaned(docs: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id", size: str | None = "n_chars") -> DataFrame:
+    """docs without their repeated strings: the text and, if there is such a column, its number of characters are those of what is left; texts of which nothing but white space is left go."""
+    cols = docs.columns
+    plain = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(cols)))
+    at = cols.index(text)
+    out = without_repeats(plain, length, f"c{cols.index(key)}", f"c{at}", texts=True, keep=list(plain.columns))
+    out = out.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    new = {text: F.col("kept")} | ({size: F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col(f"c{cols.index(size)}")).cast(docs.schema[size].dataType)} if size in cols else {})
+    return out.select(*((new.get(c, F.col(f"c{i}"))).alias(c) for i, c in enumerate(cols)))
+
+
 def op2_substrings(docs: DataFrame) -> DataFrame:
     return without_repeats(docs)
