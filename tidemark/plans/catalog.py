@@ -349,9 +349,13 @@ planned AS (SELECT DISTINCT 'delete' AS phase, data_id FROM gone WHERE data_id N
  UNION SELECT 'purge', data_id FROM actions WHERE op = 'replace' UNION SELECT 'add', data_id FROM added)"""
 
 
+def planned(s, d) -> DataFrame:
+    return state.batch_plan(fx.kept(fx.actions(s, d).where("op is not null").select("data_id", "op", "stale_ids")))
+
+
 @query("j3_batch_plan", f"{_PLAN} SELECT phase, data_id FROM planned")
 def j3(s, d):
-    return state.batch_plan(fx.actions(s, d).where("op is not null"))
+    return planned(s, d)
 
 
 @query("j4_semi_anti", f"WITH {RAW} SELECT data_id, doc_id % 7 = 0 AS hit FROM raw")
@@ -471,7 +475,7 @@ def a10(s, d):
 
 @query("a11_call_counts", f"{_PLAN} SELECT phase, count(*) AS n_ids FROM planned GROUP BY phase")
 def a11(s, d):
-    return state.batch_plan(fx.actions(s, d).where("op is not null")).groupBy("phase").agg(F.count("*").alias("n_ids"))
+    return planned(s, d).groupBy("phase").agg(F.count("*").alias("n_ids"))
 
 
 @query("a12_rollup", f"WITH {_SQL_FILES} SELECT category, count(*) AS n_files, sum(size)::BIGINT AS total_size FROM classed GROUP BY category ORDER BY n_files DESC")
@@ -581,8 +585,7 @@ def r3(s, d):
 @query("r5_applied_state", f"WITH {fx.DOCS} SELECT data_id, content_fp, label, true AS complete FROM own")
 def r5(s, d):
     """End state of applying the plan to what is stored: all that is declared, as declared, derived."""
-    a = fx.actions(s, d).where("op is not null")
-    plan = state.batch_plan(a)
+    plan = fx.kept(planned(s, d))
     stored, made = raw(s, d), derivatives(s, d)
     for phase in ("delete", "purge"):
         gone = plan.where(F.col("phase") == phase)
@@ -708,5 +711,4 @@ def v1(s, d):
 @query("x2_call_log", f"{_PLAN} SELECT phase, array_to_string(list_sort(list(data_id)), ',') AS ids FROM planned GROUP BY phase")
 def x2(s, d):
     """What a run would call, phase by phase: the report of a small batch."""
-    plan = state.batch_plan(fx.actions(s, d).where("op is not null"))
-    return plan.groupBy("phase").agg(F.array_join(F.array_sort(F.collect_list("data_id")), ",").alias("ids"))
+    return planned(s, d).groupBy("phase").agg(F.array_join(F.array_sort(F.collect_list("data_id")), ",").alias("ids"))

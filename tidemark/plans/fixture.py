@@ -7,6 +7,8 @@ doc_id % 10 decides how the tracked state differs from the declared one: 0 not t
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,14 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.reconcile(desired(spark, sf_dir), tracking(spark, sf_dir), IDENTITY)
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """A checkpoint in the cluster's shared folder, for plans that read a frame several times."""
+    sc = frame.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+    return frame.checkpoint()
+
+
 # The same in SQL: one row for each possible record.
 
 def sql_netstring(*parts: str) -> str:
