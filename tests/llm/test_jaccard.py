@@ -52,8 +52,9 @@ def corpus(seed, n=220):
     return rows + [(1000, None), (1001, ""), (1002, " \n"), (None, rows[3][1]), (5, rows[5][1]), (1003, "Two words"), (1004, "two WORDS"), (1005, "a b c")]
 
 
-@pytest.mark.parametrize("words,percent,seed", [(3, 90, 1), (5, 80, 2), (3, 90, 3)])
-def test_as_brute_force(spark, words, percent, seed):
+@pytest.mark.parametrize("words,percent,seed,block", [(3, 90, 1, 256), (5, 80, 2, 256), (3, 90, 3, 4), (5, 80, 4, 3)])
+def test_as_brute_force(spark, monkeypatch, words, percent, seed, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = corpus(seed)
     frame = spark.createDataFrame([(*x, "z") for x in rows], "doc_id long, text string, component string").repartition(4)
     got = sorted(((r.doc_id, r.n_shingles, r.component) for r in jaccard.classes(frame, words, percent).collect()), key=str)
@@ -62,8 +63,9 @@ def test_as_brute_force(spark, words, percent, seed):
 
 def test_similar_sets_always_share_a_signature():
     r = np.random.default_rng(4)
-    for percent in (80, 90):
-        allocation = jaccard.Allocation(percent)
+    for percent, words in ((80, 3), (80, 5), (90, 3)):
+        allocation = jaccard.Allocation(percent, words)
+        assert 0 < allocation.deletes.sum() < len(allocation.deletes) or words == 5
         for size in (10, 11, 19, 25, 40, 63, 100, 250, 800, 3000):
             for _ in range(25):
                 base = r.integers(0, 1 << 62, size * 2).astype(np.uint64)
@@ -78,5 +80,18 @@ def test_similar_sets_always_share_a_signature():
                 assert np.intersect1d(sig[of == 0], sig[of == 1]).size or set(a) == set(b)
 
 
+def test_bitmaps_bound_differences():
+    r = np.random.default_rng(5)
+    for size in (1, 200, 256, 257, 5000, 30000):
+        x = r.integers(0, 1 << 62, size * 2).astype(np.uint64)
+        a, b = x[:size], x[size // 3 : size // 3 + size]
+        maps = jaccard.parities(np.concatenate([a, b, a]), np.array([len(a), len(b), len(a)]))
+        f = jaccard.folded(maps)
+        gap = int(np.bitwise_count(f[0] ^ f[1]).sum())
+        assert gap <= 2 * (size // 3) and (f[0] == f[2]).all() and gap >= 0.4 * (size // 3)
+    small, large = jaccard.parities(x[:1100], np.array([200, 900]))
+    assert jaccard.folded([small, large]).shape == (2, 8)
+
+
 def test_empty(spark):
     assert jaccard.op3_jaccard(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -12,11 +12,12 @@ spend this are priced for each band and the cheaper one is used:
   deletion   T_i = 1: half as many segments, each indexed by its subset and its one-deletion neighbourhood.
 
 A set is indexed in its own band and, where it can be the smaller one of a pair, in the next. Sets that
-share a signature are candidates; equal sets are one to begin with. Of the sets under one signature the
-first is checked against every other (a star, not all pairs). Links give components; then, for signatures
-whose sets still lie in several components, exactly the pairs across components are checked too. So every
-component is that of all links, although pairs inside a component need not all be checked. Checks recompute
-the shingles from the whole texts.
+share a signature are candidates; equal sets are one to begin with. Of the
+first sets of its signatures, each set is checked against the one it shares most with (a star, not all
+pairs). Links give components; then, for signatures whose sets still lie in several components, the pairs across components are compared too, by blocks of sets.
+Before a pair is checked, parity bitmaps of the sets bound their difference from below and drop it if that
+is too much. So every component is that of all links, although pairs inside a component need not all be
+checked. Checks recompute the shingles from the whole texts.
 
 Cases: null or empty texts, and texts of white space, have no shingle and link with nothing; texts with
 fewer words than a shingle have one, their whole sequence; rows repeated are one class; null doc_ids take
@@ -40,6 +41,8 @@ WHITE[[32, 9, 10, 11, 12, 13]] = True
 SMALL = 4
 #: Texts that one task of the check holds besides the one they are compared with.
 GROUP = 64
+#: Sets of one signature that are a block of the check across components.
+BLOCK = 256
 K1, K2, K3, K4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -96,10 +99,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
 
 
 class Allocation:
-    """Size bands and, for each, the number of segments and how thresholds are spent. percent: the least similarity."""
+    """Size bands and, for each, the number of segments and how thresholds are spent. percent: the least similarity; words: of a shingle."""
 
-    def __init__(self, percent: int, largest: int = 1 << 31):
-        self.percent = percent
+    def __init__(self, percent: int, words: int = 3, largest: int = 1 << 31):
+        self.percent, self.shared = percent, 0.5 ** (words / 3)
         lo, rows = 1, []
         while lo < largest:
             hi = max(lo, lo * 10000 // (percent * percent))
@@ -110,11 +113,10 @@ class Allocation:
             lo = hi + 1
         self.lo, self.hi, self.most, self.segments, self.slack, self.deletes = (np.array(c) for c in zip(*rows, strict=True))
 
-    @staticmethod
-    def price(size: int, segments: int, deletes: bool) -> float:
-        """Signatures to store, and candidates to check if unrelated sets of one band share each shingle of a segment by one half, one set in 1000 being of a kind."""
+    def price(self, size: int, segments: int, deletes: bool) -> float:
+        """Signatures to store, and candidates to check if of 300 related sets in a band each pair shares a shingle by a chance that falls with its words (one half for three)."""
         each = size / segments
-        return size + segments + 1000 * size * 0.5 ** max(each - 1, 0) if deletes else segments + 1000 * segments * 0.5**each
+        return size + segments + 300 * size * self.shared ** max(each - 1, 0) if deletes else segments + 300 * segments * self.shared**each
 
     def bands(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lo, n, "right") - 1
@@ -173,17 +175,40 @@ def set_ids(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, mix(sums + n.astype(np.uint64) * K2), 0).astype(np.int64)
 
 
+def parities(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: the parity of the elements at each of twice as many places as elements, a power of two from 512 to 32768.
+
+    Each element in which two sets differ flips one place, so bitmaps never differ in more places than the
+    sets in elements. Larger bitmaps fold to smaller ones.
+    """
+    out, end = [], np.cumsum(n)
+    place = mix(h + K2)
+    for hi, size in zip(end.tolist(), n.tolist(), strict=True):
+        bits = min(32768, max(512, 1 << (2 * size - 1).bit_length())) if size else 512
+        odd = np.bincount((place[hi - size : hi] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, all folded to the size of the least."""
+    least = min(map(len, bitmaps)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, least), axis=0) for b in bitmaps])
+
+
 def _identify(words: int):
     def work(data, offsets):
         row, h, n = shingles(data, offsets, words)
-        return {"n_shingles": n.astype(np.int64), "set_id": set_ids(row, h, n)}
+        with np.errstate(over="ignore"):
+            bitmaps = parities(h, n)
+        return {"n_shingles": n.astype(np.int64), "set_id": set_ids(row, h, n), "bitmap": pa.array(bitmaps, pa.binary())}
 
     return lambda: work
 
 
 def _indexed(words: int, percent: int, text: str):
     def run(batches):
-        allocation = Allocation(percent)
+        allocation = Allocation(percent, words)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text))):
                 row, h, n = shingles(data, offsets, words)
@@ -214,6 +239,19 @@ def _stars(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sig[other]), pa.array(first[other]), pa.array(ids[other])], ["sig", "first", "set_id"])
 
 
+def _plausible(percent: int):
+    """Pairs whose bitmaps don't differ in more places than similar sets can."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            gap = np.fromiter((int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)), np.int64, len(na))
+            use = np.flatnonzero(gap * (100 + percent) <= (na + nb) * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use)), batch.column(1).take(pa.array(use))], ["a", "b"])
+
+    return run
+
+
 def _checked(words: int, percent: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """The row with b = a is compared with all others."""
@@ -237,16 +275,59 @@ def _checked(words: int, percent: int):
     return run
 
 
+def _blocks_compared(percent: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """Pairs from two blocks under one signature that lie in different components and may be similar."""
+        bi, bj = key[1].as_py(), key[2].as_py()
+        ids, label, part, size = (rows.column(c).to_numpy() for c in ("set_id", "label", "part", "n_shingles"))
+        left, right = np.flatnonzero(part == bi), np.flatnonzero(part == bj)
+        bits = folded(rows.column("bitmap").to_pylist())
+        found_a, found_b = [], []
+        step = max(1, 4_000_000 // max(1, bits.shape[1] * len(right)))
+        for i in range(0, len(left), step):
+            mine = left[i : i + step]
+            gap = np.bitwise_count(bits[mine][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            small, large = np.minimum(size[mine][:, None], size[right]), np.maximum(size[mine][:, None], size[right])
+            a, b = np.nonzero((gap * (100 + percent) <= (small + large) * (100 - percent)) & (100 * small >= percent * large) & (label[mine][:, None] != label[right]))
+            found_a.append(ids[mine[a]])
+            found_b.append(ids[right[b]])
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (found_a, found_b))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components under each signature that may be similar. members: (sig, set_id, label). Signatures are cut into blocks and each pair of blocks is a task; only plausible pairs leave it."""
+    members = members.distinct()
+    groups = members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(7))).alias("y"))
+    # Signatures over the same sets ask for the same checks: one of them stands for all.
+    sizes = groups.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    at = members.join(sizes, "sig").withColumn("part", F.pmod(F.xxhash64("set_id", "sig"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("bi"), F.greatest("part", o).alias("bj")))
+    at = at.withColumn("pair", F.explode(pairs)).select("sig", "set_id", "label", "part", "pair.bi", "pair.bj")
+    at = at.join(sets.select("set_id", "n_shingles", "bitmap"), "set_id")
+    return cut(at.groupBy("sig", "bi", "bj").applyInArrow(_blocks_compared(percent), "a long, b long").distinct())
+
+
+def _texts(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, text) of the sets wanted."""
+    needed = wanted.join(sets, "set_id").select("set_id", F.col("rep.doc_id").alias("d_"), F.col("rep.row_id").alias("r_"))
+    return docs.join(needed, F.expr("row_id = r_ and doc_id <=> d_")).select("set_id", "text")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set_ids that link. sets: (set_id, rep: (doc_id, row_id), n_shingles), docs: (doc_id, row_id, text)."""
-    sized = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb")), "b")
-    sized = cut(sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
+    """The pairs (a, b) of set_ids that link. sets: (set_id, rep: (doc_id, row_id), n_shingles, bitmap), docs: (doc_id, row_id, text)."""
+    sized = pairs
+    for c in ("a", "b"):
+        sized = sized.join(sets.select(F.col("set_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}")), c)
+    sized = sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    sized = cut(sized.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_plausible(percent), "a long, b long"))
     parts = sized.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     salted = sized.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     homes = parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     wanted = salted.union(homes)
-    needed = wanted.select(F.col("b").alias("set_id")).distinct().join(sets, "set_id").select(F.col("set_id").alias("b"), F.col("rep.doc_id").alias("d_"), F.col("rep.row_id").alias("r_"))
-    texts = docs.join(needed, F.expr("row_id = r_ and doc_id <=> d_")).select("b", "text")
+    texts = _texts(wanted.select(F.col("b").alias("set_id")).distinct(), sets, docs).withColumnRenamed("set_id", "b")
     return cut(wanted.join(texts, "b").groupBy("a", "part").applyInArrow(_checked(words, percent), "a long, b long"))
 
 
@@ -257,13 +338,15 @@ def classes(docs: DataFrame, words: int, percent: int, text: str = "text", key:
     text's own hash. Rows that agree in both repeat a check, which changes no result.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    known = map_text(rows.withColumn("row_id", F.xxhash64("text")), ["doc_id", "row_id"], "text", _identify(words), "n_shingles long, set_id long")
+    known = map_text(rows.withColumn("row_id", F.xxhash64("text")), ["doc_id", "row_id"], "text", _identify(words), "n_shingles long, set_id long, bitmap binary")
     known = cut(known)
-    sets = cut(known.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "row_id")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least")))
+    sets = cut(known.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "row_id")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("least")))
     signed = rows.select("text").mapInArrow(_indexed(words, percent, "text"), "sig long, set_id long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stars = cut(signed.repartition(parts, "sig").sortWithinPartitions("sig", "set_id").mapInArrow(_stars, "sig long, first long, set_id long"))
-    pairs = stars.select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct()
+    # Of the first sets that a set is under, the one it shares most signatures with.
+    pairs = stars.groupBy(F.col("set_id").alias("b"), F.col("first").alias("a")).agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     texts = rows.withColumn("row_id", F.xxhash64("text"))
     linked = _links(pairs, sets, texts, words, percent)
     roots = components(linked)
@@ -272,14 +355,12 @@ def classes(docs: DataFrame, words: int, percent: int, text: str = "text", key:
     members = stars.join(label, "set_id", "left").join(label.select(F.col("set_id").alias("first"), F.col("label").alias("first_label")), "first", "left")
     members = members.select("sig", "first", "set_id", F.coalesce("label", "set_id").alias("label"), F.coalesce("first_label", "first").alias("first_label"))
     apart = cut(members.where("label <> first_label"))
-    odd = apart.groupBy("sig", "first_label").agg(F.count("*").alias("n"))
-    inside = members.join(odd, ["sig", "first_label"], "left_semi").where("label = first_label")
-    others = inside.union(apart).select("sig", F.col("set_id").alias("o"), F.col("label").alias("o_label"))
-    more = apart.select("sig", F.col("set_id").alias("s"), F.col("label").alias("s_label")).join(others, "sig").where("s_label <> o_label")
-    more = more.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = cut(more)
-    if not more.isEmpty():
-        linked = linked.union(_links(more, sets, texts, words, percent))
+    if not apart.isEmpty():
+        odd = apart.select("sig", "first_label").distinct()
+        inside = members.join(odd, ["sig", "first_label"], "left_semi").where("label = first_label")
+        firsts = apart.select("sig", F.col("first").alias("set_id"), F.col("first_label").alias("label"))
+        more = _across(inside.unionByName(apart).select("sig", "set_id", "label").unionByName(firsts), sets, percent)
+        linked = linked.unionByName(_links(more, sets, texts, words, percent))
         roots = components(linked)
     named = sets.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("component", "set_id").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component"))
