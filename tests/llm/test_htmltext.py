@@ -11,6 +11,10 @@ CASES = [
     ("<article>cut <a href='x", "cut <a href='x"),
     ("<p class=\"lead\" title=\"a > b\">ok</p></div></p>", "ok"),
     ("", ""),
+    ("<p>a</p><script>var x = 1; if (a < b", "a"),
+    ("<p>a</p><!-- never closed", "a"),
+    ("<p>a</p><!-- x > y", "a"),
+    ("<p>a < b</p> 1 > 0", "a < b 1 > 0"),
 ]
 
 
@@ -33,5 +37,7 @@ def test_templates_of_hosts(spark):
 
 
 def test_long_and_deep():
+    assert len(htmltext.parse("<a" * 100_000)[0]) == 200_000
+    assert htmltext.parse("<a" * 100_000 + ">x")[0] == "x"
     assert htmltext.parse("<div>" * 3000 + "deep" + "</div>" * 10)[0] == "deep"
     assert len(htmltext.parse("<article><p>" + "word " * 200_000)[0]) == 999_999

@@ -36,6 +36,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+OPEN, CLOSED = re.compile(r"<!--|<[a-z]", re.I), re.compile(r"-->\Z|</[a-z][^>]*>\Z", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -121,13 +122,15 @@ def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple
         if not dropped:
             texts.append((place, text))
 
-    done = 0
-    for m in TOKEN.finditer(html):
+    done, last = 0, html.rfind(">") + 1  # no tag ends later, so none is looked for there
+    for m in TOKEN.finditer(html, 0, last):
         if m.start() > done:
             say(html[done : m.start()])
         done = m.end()
         name = m[3] or m[6]
         if not name:
+            if done == last and OPEN.match(m[0]) and not CLOSED.search(m[0]):
+                done = len(html)  # a comment or script that never ends
             continue
         name, ends, attributes = name.lower(), m[2] if m[3] else m[5], (m[4] if m[3] else m[7]) or ""
         if ends:
@@ -166,7 +169,7 @@ def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple
         mains += name == "main"
         stack.append(e)
     if done < len(html):
-        say(html[done:])
+        say(html[done:].split("<!--", 1)[0])
     close(0)
     kept = [(a, b) for kind, a, b in holders if kind == "article"] or [(a, b) for kind, a, b in holders if kind == "main"] or [(0, place)]
     gone = [(a, b) for h, a, b in spans if h in template] if template else []
