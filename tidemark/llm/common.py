@@ -77,13 +77,48 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component, by pairs (a, b) of numbers below n."""
+    low = np.arange(n)
+    while len(a):
+        new = low.copy()
+        m = np.minimum(low[a], low[b])
+        np.minimum.at(new, low[a], m)
+        np.minimum.at(new, low[b], m)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    while (low[low] != low).any():
+        low = low[low]
+    return low
+
+
+#: Edges of a partition that is thinned to a spanning forest at once.
+FOREST_EDGES = 50_000
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of a partition's edges (u, v): one edge a node at most."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    ends = np.concatenate([np.concatenate([b.column(i).to_numpy() for b in rows]) for i in (0, 1)])
+    names, number = np.unique(ends, return_inverse=True)
+    low = forest(number[: len(number) // 2], number[len(number) // 2 :], len(names))
+    own = np.flatnonzero(low != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[low[own]])], ["u", "v"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large and small stars: (node, component), the component being its least node.
 
-    edges: (a, b) of one orderable type, any direction; self-loops and repeats are allowed. Nodes
-    without an edge do not appear. Each round is checkpointed; the work of a round is linear in the edges.
+    edges: (a, b) of long, any direction; self-loops and repeats are allowed. Nodes without an edge do not
+    appear. Edges are first thinned to spanning forests of some 50 000 at a time, so a dense class does not
+    weigh on the rounds. Each round is checkpointed; its work is linear in the edges.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    now = cut(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct())
+    now = cut(now.coalesce(max(1, -(-now.count() // FOREST_EDGES))).mapInArrow(_thinned, "u long, v long").distinct())
     before = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
