@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut
+from tidemark.llm.common import components, cut, forest
 
-TABLES, PROBES = 6, 3
+TABLES, PROBES = 4, 3
+#: What makes a group: vectors of one length and label in a pair of blocks of a bucket.
+GROUPED = ["d_", "l_", "bucket", "bi", "bj"]
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -88,53 +90,73 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "buckets"])
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least node of each node's component, by pairs (a, b)."""
-    low = np.arange(n)
-    while len(a):
-        new = low.copy()
-        m = np.minimum(low[a], low[b])
-        np.minimum.at(new, low[a], m)
-        np.minimum.at(new, low[b], m)
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    while (low[low] != low).any():
-        low = low[low]
-    return low
-
-
-def _linked(least: float):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        bucket, bi, bj = (k.as_py() for k in key[-3:])
-        rep, w = rows.column("rep").to_numpy(), rows.column("w").to_numpy()
-        part = rows.column("part").to_numpy()
-        order = np.lexsort((rep, part))
-        rep, w, part = rep[order], w[order], part[order]
-        x = _matrix(rows.column("v"))[order]
-        buckets = rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)[order]
+def _linked(least: float, batch_rows: int = 20_000):
+    """Rows sorted by group in; (rep, links, low) out. A group is a pair of blocks of one bucket; whole groups are solved many at a time."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch | None:
+        rep, w, part, bi, bj, bucket = (rows.column(c).to_numpy() for c in ("rep", "w", "part", "bi", "bj", "bucket"))
+        n = len(rep)
+        group = _groups(rows)
+        x, buckets = _matrix(rows.column("v")), rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(n, -1)
         norm = np.sqrt((x * x).sum(1))
-        left, right = (np.flatnonzero(part == p) for p in (bi, bj))
-        cos = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right])
-        a, b = np.nonzero(cos >= least)
-        a, b = left[a], right[b]
-        once = a < b if bi == bj else np.ones(len(a), bool)
-        a, b = a[once], b[once]
-        root = _forest(a, b, len(rep))
+        found = []
+        for ahead in range(1, int(np.bincount(group).max())):  # each row with the one so many rows on
+            i = np.flatnonzero(group[:-ahead] == group[ahead:])
+            i = i[(bi[i] == bj[i]) | (part[i] != part[i + ahead])]
+            for at in range(0, len(i), 50_000):
+                a = i[at : at + 50_000]
+                cos = np.einsum("ij,ij->i", x[a], x[a + ahead]) / (norm[a] * norm[a + ahead])
+                found.append(np.stack([a[cos >= least], a[cos >= least] + ahead]))
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        root = forest(a, b, n)
         earlier = np.zeros(len(a), bool)  # whether the pair meets in a smaller bucket number
         for i in range(buckets.shape[1]):
             x_i = buckets[a, i]
             for j in range(i // PROBES * PROBES, i // PROBES * PROBES + PROBES):
-                earlier |= (x_i == buckets[b, j]) & (x_i < bucket)
+                earlier |= (x_i == buckets[b, j]) & (x_i < bucket[a])
         a, b = a[~earlier], b[~earlier]
-        links = np.bincount(a, weights=w[b], minlength=len(rep)) + np.bincount(b, weights=w[a], minlength=len(rep))
-        use = (links > 0) | (root != np.arange(len(rep)))
-        return pa.table({"rep": rep[use], "links": links[use].astype(np.int64), "low": rep[root[use]]})
+        links = np.bincount(a, weights=w[b], minlength=n) + np.bincount(b, weights=w[a], minlength=n)
+        use = (links > 0) | (root != np.arange(n))
+        return pa.RecordBatch.from_arrays([pa.array(rep[use]), pa.array(links[use].astype(np.int64)), pa.array(rep[root[use]])], ["rep", "links", "low"])
+
+    def run(batches):
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            if len(rest) < batch_rows:
+                continue
+            # Rows up to the last group, which may go on, and to the last vector length, so that a matrix has one.
+            while len(rest):
+                ends = np.flatnonzero(np.diff(_groups(rest))) + 1
+                length = rest.column("d_").to_numpy()
+                same = int(np.searchsorted(length, length[0], "right"))
+                stop = same if same < len(rest) else int(ends[-1]) if len(ends) else 0
+                if not stop:
+                    break
+                yield solve(rest.slice(0, stop))
+                rest = rest.slice(stop)
+        while rest is not None and len(rest):
+            length = rest.column("d_").to_numpy()
+            stop = int(np.searchsorted(length, length[0], "right"))
+            yield solve(rest.slice(0, stop))
+            rest = rest.slice(stop)
 
     return run
 
 
+def _groups(rows: pa.Table) -> np.ndarray:
+    """Numbers of the groups of sorted rows."""
+    new = np.zeros(len(rows), bool)
+    for c in GROUPED:
+        v = rows.column(c).combine_chunks()
+        v = v.dictionary_encode().indices.to_numpy() if pa.types.is_string(v.type) else v.to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, block: int = 512) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     v = F.col(vector)
@@ -152,7 +174,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     at = at.withColumn("part", F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("bi"), F.greatest("part", o).alias("bj")))
     at = at.withColumn("pair", F.explode(pairs)).select("rep", "w", "v", "l_", "d_", "bucket", "buckets", "part", "pair.bi", "pair.bj")
-    found = cut(at.groupBy("l_", "d_", "bucket", "bi", "bj").applyInArrow(_linked(least), "rep long, links long, low long"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = at.repartition(parts, *GROUPED).sortWithinPartitions(*GROUPED)
+    found = cut(at.mapInArrow(_linked(least), "rep long, links long, low long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     known = reps.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
