@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done; they stay until the driver collects garbage, which on large heaps can be long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of a string or binary array, nulls as empty; a slice holds about `most` bytes or one row."""
     if isinstance(texts, pa.ChunkedArray):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, map_text, text_slices
+from tidemark.llm.common import components, cut, map_text, text_slices, tidy
 from tidemark.llm.lexing import hashes
 
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -344,12 +344,15 @@ def classes(docs: DataFrame, words: int, percent: int, text: str = "text", key:
     signed = rows.select("text").mapInArrow(_indexed(words, percent, "text"), "sig long, set_id long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stars = cut(signed.repartition(parts, "sig").sortWithinPartitions("sig", "set_id").mapInArrow(_stars, "sig long, first long, set_id long"))
+    del signed
+    tidy(docs.sparkSession)  # the signatures are the largest exchange here
     # Of the first sets that a set is under, the one it shares most signatures with.
     pairs = stars.groupBy(F.col("set_id").alias("b"), F.col("first").alias("a")).agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     texts = rows.withColumn("row_id", F.xxhash64("text"))
     linked = _links(pairs, sets, texts, words, percent)
     roots = components(linked)
+    tidy(docs.sparkSession)
     # Signatures whose sets are not all together: the pairs across components.
     label = roots.select(F.col("node").alias("set_id"), F.col("component").alias("label"))
     members = stars.join(label, "set_id", "left").join(label.select(F.col("set_id").alias("first"), F.col("label").alias("first_label")), "first", "left")
@@ -362,6 +365,7 @@ def classes(docs: DataFrame, words: int, percent: int, text: str = "text", key:
         more = _across(inside.unionByName(apart).select("sig", "set_id", "label").unionByName(firsts), sets, percent)
         linked = linked.unionByName(_links(more, sets, texts, words, percent))
         roots = components(linked)
+        tidy(docs.sparkSession)
     named = sets.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("component", "set_id").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(names, "root").select("set_id", "root", "component")
