@@ -11,11 +11,11 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-def test_golden_ids(spark):
-    a = ident.document_id("rt-primary", "cognee-user-a", "tenant-a", "docs", F.lit("guide/intro.md"))
-    b = ident.document_id("rt-primary", "cognee-user-a", "tenant-a", "docs", ident.normalize_key(F.lit("café.md")))
-    assert one(spark, a) == "eba2aa86-0647-5792-8558-a59570def90b"
-    assert one(spark, b) == "3f2263f6-006a-5047-bebe-e18be5784794"
+def test_document_ids(spark):
+    """Version 2, the coordinates and the normal key, each with its length, in the fixed name space."""
+    for key, name in (("guide/intro.md", "1:210:rt-primary6:user-a8:tenant-a4:docs14:guide/intro.md"), ("cafe\u0301.md", "1:210:rt-primary6:user-a8:tenant-a4:docs7:caf\u00e9.md")):
+        got = one(spark, ident.document_id("rt-primary", "user-a", "tenant-a", "docs", ident.normalize_key(F.lit(key))))
+        assert got == str(uuid.uuid5(uuid.UUID(ident.NAMESPACE), name))
 
 
 @pytest.mark.parametrize("parts,joined", [((), ""), (("",), "0:"), (("a", "b:c"), "1:a3:b:c"), (("é",), "1:é"), (("\U0001f600x",), "2:\U0001f600x")])

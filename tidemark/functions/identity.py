@@ -18,8 +18,8 @@ NAMESPACE = "427dd96a-c6b7-5e1b-b82f-a0fbc923770f"
 IDENTITY_VERSION = 2
 RECORD_VERSION = 2
 RUNTIME_KEY = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
-USER_SCOPE = "cognee-user-tenant-v1"
-LOCK_SCOPE = "cogindex"
+USER_SCOPE = "user-tenant-v1"
+LOCK_SCOPE = "tidemark"
 
 
 def _col(x: Column | str) -> Column:
