@@ -41,3 +41,23 @@ def test_long_and_deep():
     assert htmltext.parse("<a" * 100_000 + ">x")[0] == "x"
     assert htmltext.parse("<div>" * 3000 + "deep" + "</div>" * 10)[0] == "deep"
     assert len(htmltext.parse("<article><p>" + "word " * 200_000)[0]) == 999_999
+
+
+def texts_of(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    return {r.page_id: r.text for r in htmltext.op9_html_text(pages).collect()}
+
+
+def test_main_text_is_no_template(spark):
+    page = "<body><div><article><p>Wrapped {}</p></article></div></body>"
+    rows = [(i, f"http://copies.com/{i}", page.format(0 if i < 5 else i)) for i in range(8)]
+    rows += [(100 + i, f"http://passage.com/{i}", f"<body>{'<p>Quoted passage</p>' if i < 5 else ''}<p>Story {i}</p><div>Foot</div></body>") for i in range(12)]
+    rows += [(200 + i, f"http://same.com/{i}", "<body><p>The only text</p></body>") for i in range(4)]
+    rows += [(300 + i, f"http://often.com/{i}", "<body><p>Copied text</p><div>Foot</div></body>" if i < 20 else f"<body><p>Own {i}</p><div>Foot</div></body>") for i in range(25)]
+    rows += [(400, "http://often.com/foot", "<body><div>Foot</div></body>")]
+    got = texts_of(spark, rows)
+    assert [got[i] for i in range(8)] == [f"Wrapped {0 if i < 5 else i}" for i in range(8)]
+    assert [got[100 + i] for i in range(12)] == [f"Quoted passage Story {i}" if i < 5 else f"Story {i}" for i in range(12)]
+    assert {got[200 + i] for i in range(4)} == {"The only text"}
+    assert [got[300 + i] for i in range(25)] == ["Copied text" if i < 20 else f"Own {i}" for i in range(25)]
+    assert got[400] == "Foot"

@@ -1,8 +1,10 @@
 """Main text of raw web pages with site template removal.
 
 Pass 1 hashes every element subtree that lies outside an article (tag names and text, attributes left
-out) and counts in Spark on how many pages of its host each occurs. Subtrees on at least `least` pages and
-`share` of the host's pages are the host's template. Pass 2 parses again and leaves out: the template's
+out) and counts in Spark on how many different pages of its host each occurs; copies of a page (equal main
+text) count once. Subtrees on at least `least` of them and on more than the `share` of the host's different
+pages are the host's template. A subtree that encloses a kept article or main element is never template,
+and a page of which the template would leave nothing keeps its text. Pass 2 parses again and leaves out: the template's
 subtrees; elements that never hold article text (scripts, styles, forms, navigation, asides, footers,
 headers outside the article, hidden elements); and elements whose class, id or role names a menu,
 sidebar, notice, advert or the readers' comments. What is left of the outermost <article> elements is
@@ -11,7 +13,7 @@ articles quote the same passages, and a passage on many pages of a host is still
 
 Cases: null or empty html has empty text; unclosed and stray tags are closed or ignored as browsers do
 for paragraphs, list items and table cells; a truncated tag or character reference at the end is text as
-far as it can be read; a null url has no host and no template; rows repeated each count as a page; an
+far as it can be read; a null url has no host and no template; an
 empty table gives an empty result; other columns don't matter.
 """
 
@@ -108,7 +110,8 @@ def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple
                 mains -= 1
                 if not mains and not e.dropped and not dropped:
                     holders.append(("main", e.place, place))
-            if not articles and e.name not in ("html", "body", "article", "main"):
+            around = holders and holders[-1][1] >= e.place  # the last holder that ended lies in this element
+            if not articles and not around and e.name not in ("html", "body", "article", "main"):
                 spans.append((digest - (1 << 63), e.place, place))
             if e.name not in INLINE:
                 texts.append((place, " "))
@@ -173,30 +176,33 @@ def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple
     close(0)
     kept = [(a, b) for kind, a, b in holders if kind == "article"] or [(a, b) for kind, a, b in holders if kind == "main"] or [(0, place)]
     gone = [(a, b) for h, a, b in spans if h in template] if template else []
-    out = []
-    for place, text in texts:
-        if any(a < place <= b for a, b in kept) and not any(a < place <= b for a, b in gone):
-            out.append(text)
-    return " ".join("".join(out).split()), {h for h, _, _ in spans}
+    held = [(place, text) for place, text in texts if any(a < place <= b for a, b in kept)]
+    left = [text for place, text in held if not any(a < place <= b for a, b in gone)]
+    out = " ".join("".join(left).split()) or " ".join("".join(text for _, text in held).split())
+    return out, {h for h, _, _ in spans}
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", least: int = 3, share: float = 0.01) -> DataFrame:
-    """(host, template): the hashes of the subtrees that recur on the host's pages."""
+def templates(pages: DataFrame, url: str = "url", html: str = "html", least: int = 3, share: float = 0.5) -> DataFrame:
+    """(host, template): the hashes of the subtrees that recur on most of the host's different pages."""
 
     def run(batches):
         for batch in batches:
-            hosts, counts, flat = batch.column(0).to_pylist(), [0], []
+            hosts, texts, counts, flat = batch.column(0).to_pylist(), [], [0], []
             for h in batch.column(1).to_pylist():
-                found = parse(h or "")[1]
+                text, found = parse(h or "")
+                texts.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
+                flat.append(None)  # the page itself
                 flat.extend(found)
                 counts.append(len(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat, pa.int64()))], ["host", "trees"])
+            trees = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), trees], ["host", "page", "trees"])
 
     rows = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).where("host is not null")
-    seen = rows.mapInArrow(run, "host string, trees array<long>")
-    pages_of = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = seen.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    often = counted.join(pages_of, "host").where(F.col("n") >= F.col("pages") * share)
+    seen = rows.mapInArrow(run, "host string, page long, trees array<long>")
+    each = seen.select("host", "page", F.explode("trees").alias("tree")).distinct()
+    counted = cut(each.groupBy("host", "tree").agg(F.count("*").alias("n")).where((F.col("n") >= least) | F.col("tree").isNull()))
+    pages_of = counted.where("tree is null").select("host", F.col("n").alias("pages"))
+    often = counted.where("tree is not null").join(pages_of, "host").where(F.col("n") > F.col("pages") * share)
     return often.groupBy("host").agg(F.collect_list("tree").alias("template"))
 
 
