@@ -381,6 +381,12 @@ def j6(s, d):
     return dv.pairs_within(e, "doc_id", F.col("item") < "M", F.col("item") >= "M")
 
 
+@query("j6_all_pairs_within_documents", f"WITH e AS (SELECT doc_id, unnest({_G3}) AS item FROM documents) SELECT a.doc_id, a.item AS \"left\", b.item AS \"right\" FROM e a JOIN e b USING (doc_id) WHERE a.item < 'M' AND b.item >= 'M'")
+def j6_all(s, d):
+    e = table(s, d, "documents").select("doc_id", F.explode(dv.capitalized(F.col("text"), None)).alias("item"))
+    return dv.pairs_within(e, "doc_id", F.col("item") < "M", F.col("item") >= "M")
+
+
 @query("j7_prefix_gaps", f"WITH {_SQL_FILES} SELECT path, count(*) AS n FROM classed WHERE NOT (starts_with(path, 'src/') OR starts_with(path, 'docs/') OR starts_with(path, 'a/b')) GROUP BY path")
 def j7(s, d):
     prefixes = s.createDataFrame([("src/",), ("docs/",), ("a/b",)], "prefix string")
