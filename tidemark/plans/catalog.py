@@ -159,6 +159,16 @@ def p2(s, d):
     return table(s, d, "documents").select("doc_id", ident.normalize_key(F.concat(F.substring("text", 1, 60), F.lit("é"))).alias("key"))
 
 
+@query("p1_canonical_join_whole_text", f"SELECT doc_id, {fx.sql_netstring('source', 'lang', 'doc_id::VARCHAR', 'text')} AS joined FROM documents")
+def p1_whole(s, d):
+    return table(s, d, "documents").select("doc_id", ident.netstring(F.col("source"), F.col("lang"), F.col("doc_id").cast("string"), F.col("text")).alias("joined"))
+
+
+@query("p2_normalize_key_whole_text", "SELECT doc_id, nfc_normalize(text || 'e' || chr(769)) AS key FROM documents")
+def p2_whole(s, d):
+    return table(s, d, "documents").select("doc_id", ident.normalize_key(F.concat("text", F.lit("é"))).alias("key"))
+
+
 @query("p3_document_data_id", f"WITH {fx.DOCS} SELECT external_key, data_id FROM own")
 def p3(s, d):
     return fx.docs(s, d).select("external_key", ident.document_id(*fx.IDENTITY, F.col("external_key")).alias("data_id"))
