@@ -61,3 +61,14 @@ def test_main_text_is_no_template(spark):
     assert {got[200 + i] for i in range(4)} == {"The only text"}
     assert [got[300 + i] for i in range(25)] == ["Copied text" if i < 20 else f"Own {i}" for i in range(25)]
     assert got[400] == "Foot"
+
+
+def test_templates_inside_articles(spark):
+    box, rare, passage = "<div class='tell'><p>Tell friends</p></div>", "<div class='note'>Rare note</div>", "<p class='q'>Quoted</p><div>Plain</div><ul><li class='x'>Item</li></ul>"
+    rows = [(i, f"http://a.com/{i}", f"<body><article><p>Story {i}</p>{box}{rare if i < 5 else ''}{passage}</article></body>") for i in range(10)]
+    rows += [(100 + i, f"http://b.com/{i}", f"<body><article><p>Tale {i}</p>{box if i < 3 else ''}</article></body>") for i in range(10)]
+    rows += [(200, "http://a.com/box", f"<article>{box}</article>")]
+    got = texts_of(spark, rows)
+    assert [got[i] for i in range(10)] == [f"Story {i}{' Rare note' if i < 5 else ''} Quoted Plain Item" for i in range(10)]
+    assert [got[100 + i] for i in range(10)] == [f"Tale {i}{' Tell friends' if i < 3 else ''}" for i in range(10)]
+    assert got[200] == "Tell friends"

@@ -1,20 +1,22 @@
 """Main text of raw web pages with site template removal.
 
-Pass 1 hashes every element subtree that lies outside an article (tag names and text, attributes left
-out) and counts in Spark on how many different pages of its host each occurs; copies of a page (equal main
-text) count once. Subtrees on at least `least` of them and on more than the `share` of the host's different
-pages are the host's template. A subtree that encloses a kept article or main element is never template,
-and a page of which the template would leave nothing keeps its text. Pass 2 parses again and leaves out: the template's
-subtrees; elements that never hold article text (scripts, styles, forms, navigation, asides, footers,
-headers outside the article, hidden elements); and elements whose class, id or role names a menu,
-sidebar, notice, advert or the readers' comments. What is left of the outermost <article> elements is
-the text; without one, of <main>, else of the body. Subtrees inside an article are never template:
-articles quote the same passages, and a passage on many pages of a host is still text.
+Pass 1 hashes every element subtree outside articles, and inside them those of block elements with
+attributes (BLOCKS; share boxes, notices, newsletter lines), by tag names and text, attributes left out. It
+counts in Spark on how many different pages of its host each occurs; copies of a page (equal main text)
+count once. Subtrees on at least `least` of them and on more than the `share` of the host's different pages
+are the host's template. A subtree that encloses a kept article or main element is never template, and a
+page of which the template would leave nothing keeps its text. Pass 2 parses again and leaves out: the
+template's subtrees; elements that never hold article text (scripts, styles, forms, navigation, asides,
+footers, headers outside the article, hidden elements); and elements whose class, id or role names a menu,
+sidebar, notice, advert or the readers' comments. What is left of the outermost <article> elements is the
+text; without one, of <main>, else of the body. Paragraphs, headings, list items, cells and blocks without
+attributes inside an article are never template: articles quote the same passages, and a passage on many
+pages of a host is still text.
 
 Cases: null or empty html has empty text; unclosed and stray tags are closed or ignored as browsers do
 for paragraphs, list items and table cells; a truncated tag or character reference at the end is text as
-far as it can be read; a null url has no host and no template; an
-empty table gives an empty result; other columns don't matter.
+far as it can be read; a null url has no host and no template; an empty table gives an empty result; other
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -53,6 +55,8 @@ CLOSES = {
     "body": ({"head"}, {"html"}),
 }
 SCOPES = frozenset("table td th button object html body article main".split())
+#: Those that, with attributes, can be template inside an article.
+BLOCKS = frozenset("div section header hgroup ul ol dl figure table details address center".split())
 NEVER = frozenset("head nav aside footer form button select fieldset dialog svg canvas object audio video menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 NAMED = frozenset(
@@ -63,10 +67,10 @@ NAMED = frozenset(
 
 
 class Element:
-    __slots__ = ("dropped", "name", "parts", "place")
+    __slots__ = ("block", "dropped", "name", "parts", "place")
 
-    def __init__(self, name: str, dropped: bool, place: int):
-        self.name, self.dropped, self.place, self.parts = name, dropped, place, [name]
+    def __init__(self, name: str, dropped: bool, block: bool, place: int):
+        self.name, self.dropped, self.block, self.place, self.parts = name, dropped, block, place, [name]
 
 
 def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
@@ -84,10 +88,10 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
 
 
 def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple[str, set[int]]:
-    """(main text, hashes of the subtrees outside articles)."""
+    """(main text, hashes of the subtrees that can be template)."""
     place = 0  # counts tags and texts
     texts: list[tuple[int, str]] = []  # (place, text): what is not dropped
-    spans: list[tuple[int, int, int]] = []  # subtrees outside articles: hash, first and last place
+    spans: list[tuple[int, int, int]] = []  # subtrees that can be template: hash, first and last place
     holders: list[tuple[str, int, int]] = []  # outermost article and main elements: name, first and last place
     stack: list[Element] = []
     articles = mains = dropped = 0
@@ -111,7 +115,7 @@ def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple
                 if not mains and not e.dropped and not dropped:
                     holders.append(("main", e.place, place))
             around = holders and holders[-1][1] >= e.place  # the last holder that ended lies in this element
-            if not articles and not around and e.name not in ("html", "body", "article", "main"):
+            if (e.block or not articles) and not around and e.name not in ("html", "body", "article", "main"):
                 spans.append((digest - (1 << 63), e.place, place))
             if e.name not in INLINE:
                 texts.append((place, " "))
@@ -165,7 +169,7 @@ def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple
                 if stack[i].name in SCOPES:
                     break
             texts.append((place, " "))
-        e = Element(name, _unwanted(name, attributes, articles > 0), place)
+        e = Element(name, _unwanted(name, attributes, articles > 0), name in BLOCKS and attributes.strip(" \t\r\n\f/") != "", place)
         place += 1
         dropped += e.dropped
         articles += name == "article"
