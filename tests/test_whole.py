@@ -33,3 +33,7 @@ def test_whole_texts_are_joined(run):
 
 def test_whole_texts_are_normalized(run):
     assert run("p2_normalize_key_whole_text", TEXTS) == sorted((i, unicodedata.normalize("NFC", text + "e\u0301")) for i, text, _, _ in TEXTS)
+
+
+def test_sources_of_all_documents(run):
+    assert run("u1_union_all_documents", TEXTS) == [("a",), ("b",), ("c",), ("d",), ("en",), ("fr",)]

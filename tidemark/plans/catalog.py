@@ -557,6 +557,12 @@ def u1(s, d):
     return t.where("doc_id % 3 = 0").select("source").union(t.select("lang")).distinct()
 
 
+@query("u1_union_all_documents", "SELECT source FROM documents UNION SELECT lang FROM documents")
+def u1_all(s, d):
+    t = table(s, d, "documents")
+    return t.select("source").union(t.select("lang")).distinct()
+
+
 @query("u2_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def u2(s, d):
     return table(s, d, "customer").select("c_custkey").exceptAll(table(s, d, "orders").select("o_custkey").distinct())
