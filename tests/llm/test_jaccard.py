@@ -93,5 +93,24 @@ def test_bitmaps_bound_differences():
     assert jaccard.folded([small, large]).shape == (2, 8)
 
 
+def test_sets_that_share_an_id_stay_apart(spark):
+    rows = corpus(6, 120)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component) for r in jaccard.classes(frame, 3, 90, id_bits=5).collect()), key=str)
+    assert got == brute(rows, 3, 90)
+
+
+def test_a_very_long_text_and_many_equal_rows_without_an_id(spark):
+    r = random.Random(7)
+    long = [f"w{r.randrange(5000)}" for _ in range(150_000)]
+    near = [w if r.random() < 0.99 else "x" for w in long]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:5000]))] + [(None, "the same text every time")] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.component) for x in jaccard.classes(frame, 5, 80).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (None, None)}
+    kept = jaccard.representatives(frame.withColumn("own", frame.doc_id)).collect()
+    assert sorted((x.doc_id for x in kept), key=str) == [1, 3, None]
+
+
 def test_empty(spark):
     assert jaccard.op3_jaccard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
