@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from tidemark.llm import htmltext
@@ -15,6 +18,8 @@ CASES = [
     ("<p>a</p><!-- never closed", "a"),
     ("<p>a</p><!-- x > y", "a"),
     ("<p>a < b</p> 1 > 0", "a < b 1 > 0"),
+    ("<article><p class='share-price'>1</p><div class='search-results'>2</div><p id='comment-on-policy'>3</p><div class='share-buttons'>no</div><div id='ad_box'>no</div></article>", "1 2 3"),
+    ("<p>a<td>b</p>c</td></p>d<tr>e", "a bc d e"),
 ]
 
 
@@ -72,3 +77,42 @@ def test_templates_inside_articles(spark):
     assert [got[i] for i in range(10)] == [f"Story {i}{' Rare note' if i < 5 else ''} Quoted Plain Item" for i in range(10)]
     assert [got[100 + i] for i in range(10)] == [f"Tale {i}{' Tell friends' if i < 3 else ''}" for i in range(10)]
     assert got[200] == "Tell friends"
+
+
+def test_time_is_in_proportion():
+    blocks = "".join(f"<div><p>b{i}</p></div>" for i in range(50_000))
+    for html in (blocks, "<p>" + "<b>" * 50_000 + "<p>x" * 50_000, "<article>" + blocks + "</article>" * 50_000):
+        t = time.time()
+        _, trees = htmltext.parse(html)
+        assert htmltext.parse(html, set(list(trees)[::2]))[0]
+        assert time.time() - t < 20
+
+
+def brute(rows, least=3, share=0.5):
+    """Templates by plain loops over whole pages."""
+    different, on = {}, {}
+    for _, url, html in rows:
+        host = url.split("/")[2].lower()
+        text, trees = htmltext.parse(html)
+        different.setdefault(host, set()).add(text)
+        for t in trees:
+            on.setdefault((host, t), set()).add(text)
+    many = {k for k, texts in on.items() if len(texts) >= least and len(texts) > share * len(different[k[0]])}
+    return {i: htmltext.parse(html, {t for h, t in many if h == url.split("/")[2].lower()})[0] for i, url, html in rows}
+
+
+@pytest.mark.parametrize("most", [htmltext.BROADCAST_HASHES, 0])
+def test_as_brute_force_and_without_templates(spark, monkeypatch, most):
+    monkeypatch.setattr(htmltext, "BROADCAST_HASHES", most)
+    r = random.Random(3)
+    boxes = [f"<div class='k{i}'><p>Box {i}</p></div>" for i in range(6)]
+    rows = []
+    for i in range(150):
+        host = r.choice(["a.com", "b.com", "c.com"])
+        inside = "".join(b for j, b in enumerate(boxes) if r.random() < j / 6)
+        outside = r.choice(boxes) + "<div>Site line</div>"
+        body = f"<p>Text {r.randrange(100)}</p>{inside}"
+        rows.append((i, f"http://{host}/{i}", f"<body>{outside}{f'<article>{body}</article>' if r.random() < 0.6 else body}</body>"))
+    got, want = texts_of(spark, rows), brute(rows)
+    assert got == want
+    assert sum(htmltext.parse(html)[0] != want[i] for i, _, html in rows) > 100  # what the templates change

@@ -7,8 +7,9 @@ count once. Subtrees on at least `least` of them and on more than the `share` of
 are the host's template. A subtree that encloses a kept article or main element is never template, and a
 page of which the template would leave nothing keeps its text. Pass 2 parses again and leaves out: the
 template's subtrees; elements that never hold article text (scripts, styles, forms, navigation, asides,
-footers, headers outside the article, hidden elements); and elements whose class, id or role names a menu,
-sidebar, notice, advert or the readers' comments. What is left of the outermost <article> elements is the
+footers, headers outside the article, hidden elements); and elements of which the role, or a class or id as
+a whole, names a menu, sidebar, notice, advert or the readers' comments (`comments`, `cookie-notice`,
+`ad-box`; not `share-price` or `comment-on-policy`). What is left of the outermost <article> elements is the
 text; without one, of <main>, else of the body. Paragraphs, headings, list items, cells and blocks without
 attributes inside an article are never template: articles quote the same passages, and a passage on many
 pages of a host is still text.
@@ -22,6 +23,7 @@ columns don't matter.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html import unescape
 
 import pyarrow as pa
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 from tidemark.llm.langid import host_of
 
-#: Hashes in all templates together up to which they are broadcast; beyond, pages are joined by host.
-BROADCAST_HASHES = 200_000
+#: Hashes in all templates together up to which they are broadcast; beyond, pages are joined by host and one of SALTS parts of it.
+BROADCAST_HASHES, SALTS = 200_000, 32
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(script|style|textarea|title|noscript|template|iframe|xmp)\b[^>]*>(?:.*?</\1\s*[^>]*>|.*)"
@@ -55,6 +57,8 @@ CLOSES = {
     "body": ({"head"}, {"html"}),
 }
 SCOPES = frozenset("table td th button object html body article main".split())
+#: End tags inside these close nothing outside them, but for those of OUTER.
+BARRIERS, OUTER = ("article", "main", "td", "th"), frozenset("body html table tr article main".split())
 #: Those that, with attributes, can be template inside an article.
 BLOCKS = frozenset("div section header hgroup ul ol dl figure table details address center".split())
 NEVER = frozenset("head nav aside footer form button select fieldset dialog svg canvas object audio video menu".split())
@@ -65,6 +69,14 @@ NAMED = frozenset(
     "comments disqus respond replies social share sharing related popup modal overlay login signup search pagination pager toolbar widget".split()
 )
 
+#: Parts of names that say nothing of the content.
+PLAIN = frozenset("area bar block body bottom box button buttons col column container content form group header icons inner item items left link links list outer panel right row section slot top unit wrap wrapper".split())
+
+
+def _named(value: str) -> bool:
+    """Whether one of the names is made of NAMED and PLAIN words only, with a NAMED one."""
+    return any(not NAMED.isdisjoint(parts) and NAMED.union(PLAIN).issuperset(parts) for parts in (list(filter(None, re.split(r"[_-]+", name))) for name in value.split()))
+
 
 class Element:
     __slots__ = ("block", "dropped", "name", "parts", "place")
@@ -82,11 +94,21 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
             return True
-        if key in ("class", "id") and not NAMED.isdisjoint(re.split(r"[\s_-]+", value)):
+        if key in ("class", "id") and _named(value):
             return True
     return False
 
 
+def _within(texts: list[tuple[int, str]], spans: list[tuple[int, int]]) -> list[bool]:
+    """Whether each text lies in one of the spans (first place excluded); both are in order, spans may be nested."""
+    out, i, end = [], 0, -1
+    for place, _ in texts:
+        while i < len(spans) and spans[i][0] < place:
+            end, i = max(end, spans[i][1]), i + 1
+        out.append(place <= end)
+    return out
+
+
 def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple[str, set[int]]:
     """(main text, hashes of the subtrees that can be template)."""
     place = 0  # counts tags and texts
@@ -94,12 +116,18 @@ def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple
     spans: list[tuple[int, int, int]] = []  # subtrees that can be template: hash, first and last place
     holders: list[tuple[str, int, int]] = []  # outermost article and main elements: name, first and last place
     stack: list[Element] = []
+    opened: dict[str, list[int]] = {}  # where in the stack elements of a name are
     articles = mains = dropped = 0
 
+    def last(names: Iterable[str]) -> int:
+        """Where in the stack the innermost element of these names is; -1: there is none."""
+        return max((opened[n][-1] for n in names if opened.get(n)), default=-1)
+
     def close(upto: int) -> None:
         nonlocal articles, mains, dropped, place
         while len(stack) > upto:
             e = stack.pop()
+            opened[e.name].pop()
             place += 1
             digest = xxhash.xxh3_64_intdigest("\x00".join(e.parts))  # of names, texts and the digests of children
             if stack:
@@ -129,24 +157,21 @@ def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple
         if not dropped:
             texts.append((place, text))
 
-    done, last = 0, html.rfind(">") + 1  # no tag ends later, so none is looked for there
-    for m in TOKEN.finditer(html, 0, last):
+    done, stop = 0, html.rfind(">") + 1  # no tag ends later, so none is looked for there
+    for m in TOKEN.finditer(html, 0, stop):
         if m.start() > done:
             say(html[done : m.start()])
         done = m.end()
         name = m[3] or m[6]
         if not name:
-            if done == last and OPEN.match(m[0]) and not CLOSED.search(m[0]):
+            if done == stop and OPEN.match(m[0]) and not CLOSED.search(m[0]):
                 done = len(html)  # a comment or script that never ends
             continue
         name, ends, attributes = name.lower(), m[2] if m[3] else m[5], (m[4] if m[3] else m[7]) or ""
         if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    close(i)
-                    break
-                if stack[i].name in ("article", "main", "td", "th") and name not in ("body", "html", "table", "tr", "article", "main"):
-                    break
+            at = last((name,))
+            if at >= 0 and (name in OUTER or at >= last(BARRIERS)):
+                close(at)
             continue
         if name in VOID:
             if name not in INLINE:
@@ -154,34 +179,28 @@ def parse(html: str, template: frozenset[int] | set[int] = frozenset()) -> tuple
             continue
         if name in CLOSES:
             inner, scope = CLOSES[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name in inner:
-                    close(i)
-                    if name != "tr":
-                        break
-                elif stack[i].name in scope:
+            while (at := last(inner)) > last(scope):
+                close(at)
+                if name != "tr":
                     break
         if name not in INLINE:  # a block closes an open paragraph
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == "p":
-                    close(i)
-                    break
-                if stack[i].name in SCOPES:
-                    break
+            if (at := last(("p",))) > last(SCOPES):
+                close(at)
             texts.append((place, " "))
         e = Element(name, _unwanted(name, attributes, articles > 0), name in BLOCKS and attributes.strip(" \t\r\n\f/") != "", place)
         place += 1
         dropped += e.dropped
         articles += name == "article"
         mains += name == "main"
+        opened.setdefault(name, []).append(len(stack))
         stack.append(e)
     if done < len(html):
         say(html[done:].split("<!--", 1)[0])
     close(0)
     kept = [(a, b) for kind, a, b in holders if kind == "article"] or [(a, b) for kind, a, b in holders if kind == "main"] or [(0, place)]
-    gone = [(a, b) for h, a, b in spans if h in template] if template else []
-    held = [(place, text) for place, text in texts if any(a < place <= b for a, b in kept)]
-    left = [text for place, text in held if not any(a < place <= b for a, b in gone)]
+    gone = sorted((a, b) for h, a, b in spans if h in template) if template else []
+    held = [x for x, inside in zip(texts, _within(texts, kept), strict=True) if inside]
+    left = [text for (_, text), inside in zip(held, _within(held, gone), strict=True) if not inside]
     out = " ".join("".join(left).split()) or " ".join("".join(text for _, text in held).split())
     return out, {h for h, _, _ in spans}
 
@@ -215,8 +234,12 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url:
     found = cut(templates(pages, url, html, **options))
     n = found.agg(F.sum(F.size("template"))).first()[0] or 0
     found = found.withColumnsRenamed({"host": "html__of", "template": "html__template"})
-    rows = pages.select(*keep, F.col(html).alias("html__raw"), host_of(url).alias("html__host"))
-    rows = rows.join(F.broadcast(found) if n <= BROADCAST_HASHES else found, F.col("html__host") == F.col("html__of"), "left")
+    rows = pages.select(*keep, F.col(html).alias("html__raw"), host_of(url).alias("html__host"), F.pmod(F.xxhash64(url, html), F.lit(SALTS)).alias("html__salt"))
+    if n <= BROADCAST_HASHES:
+        rows = rows.join(F.broadcast(found), F.col("html__host") == F.col("html__of"), "left")
+    else:
+        parts = found.withColumn("html__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = rows.join(parts, F.expr("html__host = html__of and html__salt = html__part"), "left")
     fields = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keep)
 
     def run(batches):
