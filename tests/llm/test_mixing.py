@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import duckdb
@@ -29,6 +30,38 @@ def test_targets_bounds_and_reruns(spark):
         assert source == "tiny" or abs(taken - target) <= 0.1 * target + 500
 
 
+def test_reruns_agree_for_rows_without_an_id_of_their_own(spark):
+    rows = [(r, f"{'w ' * (i % 23)}t{i}", "ab"[i % 2]) for i in range(200) for r in (7, None)] + [(7, None, "a"), (7, "", "a")]
+    want = None
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame([(*r, i % 1) for i, r in enumerate(rows)], "doc_id long, text string, source string, extra int").repartition(seed + 2)
+        got = Counter((r.doc_id, r.text, r.source, r.mix__copies) for r in mixing.with_copies(docs).collect())
+        want = want or got
+        assert got == want
+
+
+def test_targets_by_brute_force(spark):
+    for seed in range(4):
+        r = random.Random(seed)
+        sizes = {s: r.choice([0, 1, 10, 500, 4000]) + r.randrange(100) for s in "abcdefg"[: 2 + seed]} | {None: 60}
+        names = sorted(k for k in sizes if k is not None) + [None]
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+        target, rest = dict.fromkeys(names, 0.0), 1.5 * sum(sizes.values())
+        free = set(names)
+        while free and rest > 1e-9:  # give shares, take back what is above twice the size, give that again
+            for s in free:
+                target[s] += rest * weight[s] / sum(weight[x] for x in free)
+            rest = sum(max(0.0, target[s] - 2 * sizes[s]) for s in free)
+            full = {s for s in free if target[s] >= 2 * sizes[s]}
+            for s in full:
+                target[s] = 2.0 * sizes[s]
+            free -= full
+        frame_ = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        for row in mixing.source_targets(frame_).collect():
+            assert abs(row.target - target[row.source]) < 1e-6 * (1 + target[row.source]), (seed, row)
+
+
 def test_as_sql(spark):
     rows = [r for r in ROWS if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values())

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame operations only.
 
 Every document of a source has the same expected number of copies, target / source size. With the
-documents in a fixed order (size class, then a seeded hash), the prefix sums of the expected copies
+documents in a fixed order (size class, then a seeded hash of id and text), the prefix sums of the expected copies
 are rate * rank; one offset a source is added and a document is taken once for each integer that its
 interval crosses, so floor(rate) or ceil(rate) times. Sorting by size class spreads the copies evenly
 over short and long documents, which keeps the taken words near the target.
@@ -11,8 +11,9 @@ class, two hex digits of the hash), bucket counts are summed up over at most 30
 and only the rank within a bucket needs the bucket's rows together.
 
 Cases: null text has size 0; null source is a source of its own, last in order; a source without words
-has target 0; an empty table gives an empty result; rows repeated in full share their bucket and are
-each sampled; equal hashes are ordered by doc_id.
+has target 0; an empty table gives an empty result; rows repeated in full share their bucket, are each
+sampled and can't be told apart; rows that agree in id and text are ordered by their other columns (but
+for maps, which have no order). So reruns agree, whatever order the rows come in.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
 def with_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1") -> DataFrame:
     """docs with mix__size, mix__source_size, mix__target and mix__copies, how often the mix takes each row."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")))))
+    other = [c for c in docs.columns if c not in ("doc_id", "text") and "map<" not in docs.schema[c].dataType.simpleString()]
     rows = docs.withColumn("mix__size", size)
     kind = "cast(length(bin(mix__size)) * 8 + (shiftright(mix__size, greatest(length(bin(mix__size)) - 4, 0)) & 7) as int)"
     rows = rows.withColumns({"mix__source": F.col("source"), "mix__class": F.expr(kind), "mix__hash": order, "mix__part": F.substring(order, 1, 2)})
@@ -58,7 +60,7 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     targets = source_targets(rows.select(F.col("source"), F.col("mix__size").alias("size")), weights, share, most)
     targets = targets.withColumnsRenamed({"source": "mix__of", "source_size": "mix__source_size", "target": "mix__target"})
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|offset|"), F.coalesce("mix__source", F.lit("\0")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    ranked = rows.withColumn("mix__rank", F.row_number().over(Window.partitionBy(*bucket).orderBy("mix__hash", "doc_id")))
+    ranked = rows.withColumn("mix__rank", F.row_number().over(Window.partitionBy(*bucket).orderBy("mix__hash", "doc_id", F.col("text").isNull(), F.xxhash64(*other) if other else F.lit(0))))
     ranked = ranked.join(counts, F.expr(" and ".join(f"{c} <=> {c}_" for c in bucket))).join(targets, F.expr("mix__source <=> mix__of"))
     rate = F.when(F.col("mix__source_size") > 0, F.col("mix__target") / F.col("mix__source_size")).otherwise(F.lit(0.0))
     place = (F.col("mix__first") + F.col("mix__rank")).cast("double")
@@ -81,10 +83,10 @@ def op8_mixing(docs: DataFrame) -> DataFrame:
 
 OP8_SQL = r"""
 WITH rows AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, text IS NULL AS none, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 keyed AS (
   SELECT *, length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)) & 7) AS class,
-         md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')) AS hash FROM rows),
+         md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null') || '|' || digest) AS hash FROM rows),
 by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 weighed AS (
@@ -96,7 +98,7 @@ targets AS (
   SELECT source, source_size, CASE WHEN level >= most / weight THEN most ELSE max(CASE WHEN level < most / weight THEN level END) OVER () * weight END AS target FROM levels),
 ranked AS (
   SELECT k.*, t.source_size, t.target,
-         row_number() OVER (PARTITION BY k.source ORDER BY class, hash, doc_id)::DOUBLE AS place,
+         row_number() OVER (PARTITION BY k.source ORDER BY class, hash, doc_id, none)::DOUBLE AS place,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          ('0x' || substr(md5('mix-1|offset|' || coalesce(k.source, chr(0))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
