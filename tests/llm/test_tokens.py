@@ -54,3 +54,32 @@ def test_every_code_point_lexes_as_the_library(name, joins):
     want = [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
     bad = [hex(ord(c)) for c, g, w in zip(chars, got, want) if g != w]
     assert len(bad) < 40, bad
+
+
+def test_transducer_counts_words_of_all_lengths(monkeypatch):
+    vocabulary = tokens.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    machine, encoder = tokens.CountingTransducer(vocabulary), tokens.BacktrackingEncoder(vocabulary)
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeinrst \u00c3\u00a9") for _ in range(r.choice([1, 2, 5, 9, 40]))) for _ in range(500)] + ["a" * 3000, "".join(r.choice("abcdefgh") for _ in range(4000))]
+    data = [w.encode("latin-1") for w in words]
+    ends = np.cumsum([len(d) for d in data])
+    want = [len(encoder.encode(d.decode("latin-1"))) for d in data]
+    for most, batch, few in ((60_000, 100_000, 24), (50, 300, 3), (50, 300, 10_000)):
+        monkeypatch.setattr(tokens.CountingTransducer, "MOST", most)
+        monkeypatch.setattr(tokens.CountingTransducer, "BATCH", batch)
+        monkeypatch.setattr(tokens.CountingTransducer, "FEW", few)
+        assert machine.counts(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], ends[:-1]]), ends).tolist() == want
+    assert machine.counts(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    points = np.frombuffer("abcabxababc".encode("utf-32-le"), np.uint32)
+    at, ends = np.array([0, 3, 6, 8]), np.array([3, 6, 8, 11])
+    for fake in (None, lambda *a: np.zeros(4, np.uint64)):
+        if fake:
+            monkeypatch.setattr(tokens, "hashes", fake)
+        where, number = tokens.different(points, at, ends, [])
+        text = ["abc", "abx", "ab", "abc"]
+        assert [text[where[k]] for k in number] == text
+        where, number = tokens.different(points, at, ends, [0])
+        assert [text[where[k]] for k in number] == text and where[number[0]] == 0 and where[number[3]] == 3

@@ -147,9 +147,11 @@ class CountingTransducer:
     last token of what comes before it. What a later symbol can change depends only on the longest suffix
     that begins some token (the automaton node) and, for each position in it, the last token and the number
     of tokens there, relative to now. These make the state; a transition carries the change in the count.
+    Transitions are rows of two tables, next state and change, so that many words advance at once.
     """
 
-    MOST = 150_000
+    #: States after which compilation begins anew, symbols that are read between two looks at their number, and words below which they are read one by one.
+    MOST, BATCH, FEW = 400_000, 100_000, 24
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -158,12 +160,38 @@ class CountingTransducer:
 
     def reset(self) -> None:
         #: A state: (suffix, for each position before, in and after it: (last token there, count there - count now)).
-        self.states: list[tuple[str, tuple]] = [("", (("", 0),))]
-        self.number = {self.states[0]: 0}
-        self.steps: dict[tuple[int, str], tuple[int, int]] = {}
+        self.states: list[tuple[str, tuple]] = []
+        self.number: dict[tuple[str, tuple], int] = {}
+        self.column = np.full(512, -1, np.int64)  # of a symbol in the tables
+        self.symbols: list[int] = []
+        self.to, self.delta = np.full((1024, 64), -1, np.int32), np.zeros((1024, 64), np.int16)
+        self.add(("", (("", 0),)))
 
-    def step(self, state: int, symbol: str) -> tuple[int, int]:
-        v = self.v
+    def add(self, key: tuple[str, tuple]) -> int:
+        at = self.number.get(key)
+        if at is None:
+            at = self.number[key] = len(self.states)
+            self.states.append(key)
+            if at == len(self.to):
+                self._grow(2 * at, self.to.shape[1])
+        return at
+
+    def _grow(self, rows: int, columns: int) -> None:
+        to, delta = np.full((rows, columns), -1, np.int32), np.zeros((rows, columns), np.int16)
+        to[: self.to.shape[0], : self.to.shape[1]], delta[: self.to.shape[0], : self.to.shape[1]] = self.to, self.delta
+        self.to, self.delta = to, delta
+
+    def learn(self, symbols: np.ndarray) -> None:
+        """Columns for all these symbols."""
+        for x in np.flatnonzero(np.bincount(symbols, minlength=512)).tolist():
+            if self.column[x] < 0:
+                if len(self.symbols) == self.to.shape[1]:
+                    self._grow(self.to.shape[0], 2 * len(self.symbols))
+                self.column[x] = len(self.symbols)
+                self.symbols.append(x)
+
+    def compile(self, state: int, column: int) -> None:
+        v, symbol = self.v, chr(self.symbols[column])
         suffix, trail = self.states[state]
         grown = suffix + symbol
         drop = 0
@@ -171,30 +199,70 @@ class CountingTransducer:
             drop += 1
         for begin in range(drop, len(grown)):
             token = grown[begin:]
-            before, count = trail[begin]
-            if token in v.reachable and (not before or v.fits(before, token)):
+            if token in v.reachable and (not trail[begin][0] or v.fits(trail[begin][0], token)):
                 break
         else:
             raise ValueError("a symbol is not in the vocabulary")
-        delta = count + 1
-        key = (grown[drop:], (*((t, c - delta) for t, c in trail[drop:]), (token, 0)))
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-        return to, delta
-
-    def count(self, symbols: str) -> int:
-        state = total = 0
-        steps = self.steps
-        for symbol in symbols:
-            got = steps.get((state, symbol))
-            if got is None:
-                got = steps[state, symbol] = self.step(state, symbol)
-            state, delta = got
-            total += delta
-        if len(self.states) > self.MOST:
-            self.reset()
+        delta = trail[begin][1] + 1
+        # No token to come begins at a place whose rest begins none, so what is known there is left out.
+        prefixes = self.prefixes
+        known = (e and (e[0], e[1] - delta) if grown[i:] in prefixes else None for i, e in enumerate(trail[drop:], drop))
+        to = self.add((grown[drop:], (*known, (token, 0))))
+        self.to[state, column], self.delta[state, column] = to, delta
+
+    def counts(self, symbols: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of tokens of each span of symbols; spans are words, which begin in the first state."""
+        out = np.zeros(len(at), np.int64)
+        upto = np.cumsum(ends - at)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + self.BATCH, "right")))
+            out[lo:hi] = self._batch(symbols, at[lo:hi], ends[lo:hi])
+            if len(self.states) > self.MOST:
+                self.reset()
+            lo = hi
+        return out
+
+    def _batch(self, symbols: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - at
+        order = np.argsort(-size, kind="stable")
+        at, size = at[order], size[order]
+        live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # words longer than so many symbols
+        state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        step = 0
+        self.learn(symbols[int(at.min()) : int((at + size).max())])
+        while step < len(live) and live[step] >= self.FEW:
+            n = int(live[step])
+            column = self.column[symbols[at[:n] + step]]
+            to = self.to[state[:n], column]
+            missing = np.flatnonzero(to < 0)
+            if len(missing):
+                for pair in np.unique(state[missing] << 10 | column[missing]).tolist():
+                    self.compile(pair >> 10, pair & 1023)
+                to = self.to[state[:n], column]
+            total[:n] += self.delta[state[:n], column]
+            state[:n] = to
+            step += 1
+        for i in range(int(live[step]) if step < len(live) else 0):  # the few longest
+            total[i] += self._rest(symbols[at[i] + step : at[i] + size[i]], int(state[i]), keep=i + 1 < live[step])
+        out = np.empty(len(at), np.int64)
+        out[order] = total
+        return out
+
+    def _rest(self, symbols: np.ndarray, state: int, keep: bool) -> int:
+        """The change over one word's symbols. keep: other words still stand in states, which thus may not go."""
+        total, columns = 0, self.column[symbols].tolist()
+        for i, column in enumerate(columns):
+            if self.to[state, column] < 0:
+                self.compile(state, column)
+            total += int(self.delta[state, column])
+            state = int(self.to[state, column])
+            if not keep and len(self.states) > 2 * self.MOST:
+                here = self.states[state]
+                self.reset()
+                self.learn(symbols[i + 1 :])
+                state = self.add(here)
+                columns[i + 1 :] = self.column[symbols[i + 1 :]].tolist()
         return total
 
 

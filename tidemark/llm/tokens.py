@@ -2,8 +2,11 @@
 
 Token counts come from two deterministic transducers: one finds the pretokens (lexing.Lexer: chunk state
 maps composed by a prefix scan), the other (bpe.CountingTransducer) annotates its transitions with the
-change in the number of tokens and reads each distinct pretoken of a slice once. Encoding uses the
-backtracking encoder over Aho-Corasick matches; decoding copies bytes by an offset table.
+change in the number of tokens. The second starts anew at each pretoken, so the map of a chunk that ends at
+a pretoken's end sends every state to the first one and adds a number: the chunks (pretokens) advance side
+by side, and their maps compose by a prefix sum, whose differences at the borders of texts are the counts.
+Encoding uses the backtracking encoder over Aho-Corasick matches, whose results are kept by pretoken;
+decoding copies bytes by an offset table.
 
 Cases: null text counts as empty (0 tokens); rows repeated keep their own results; other columns don't
 matter; an empty table gives an empty result; one very long text is a slice of its own, with memory in
@@ -12,6 +15,7 @@ proportion to it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import unicodedata
 
@@ -25,8 +29,8 @@ from tidemark.llm.bpe import BacktrackingEncoder, CountingTransducer, Vocabulary
 from tidemark.llm.common import map_text, spread
 from tidemark.llm.lexing import Lexer, code_points, hashes
 
-#: Distinct pretokens whose results a worker keeps.
-MEMORY = 400_000
+#: Pretokens whose results a worker keeps, and the longest that it keeps.
+MEMORY, LONG = 400_000, 64
 
 
 class Splitter:
@@ -71,7 +75,7 @@ class Splitter:
         return "".join(rows), np.array(first, np.int64), np.array(parts, np.int64), special
 
     def split(self, data: np.ndarray, offsets: np.ndarray):
-        """(text, starts, ends, hashes, row of each pretoken, {index: special id})."""
+        """(text, its code points, starts, ends, row of each pretoken, {index: special id})."""
         text, first, parts, special = self.pieces(data, offsets)
         points = code_points(text)
         at, ends = self.lexer.run(points, parts)
@@ -87,28 +91,32 @@ class Splitter:
             marks = {int(moved[i]): t for i, t in marks.items()}
             at, ends = at[keep], ends[keep]
         row = np.searchsorted(first, at, "right") - 1
-        return text, at, ends, hashes(points, at, ends), row, marks
+        return text, points, at, ends, row, marks
 
 
-def counter(path: str, limit: int, lowers: bool = False):
+@functools.lru_cache(2)
+def _counting(path: str, lowers: bool) -> tuple[Vocabulary, Splitter, CountingTransducer]:
+    """What a worker keeps from task to task."""
     vocabulary = Vocabulary(path)
-    splitter, transducer, known = Splitter(vocabulary, lowers), CountingTransducer(vocabulary), {}
+    return vocabulary, Splitter(vocabulary, lowers), CountingTransducer(vocabulary)
+
+
+def counter(path: str, limit: int, lowers: bool = False):
+    vocabulary, splitter, transducer = _counting(path, lowers)
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict:
-        text, at, ends, h, row, marks = splitter.split(data, offsets)
-        unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(known) > MEMORY:
-            known.clear()
-        counts = np.empty(len(unique), np.int64)
-        for i, (key, k) in enumerate(zip(unique.tolist(), where.tolist(), strict=True)):
-            n = known.get(key)
-            if n is None:
-                n = known[key] = transducer.count(vocabulary.word(text[at[k] : ends[k]]))
-            counts[i] = n
-        each = counts[inverse]
-        for i in marks:
-            each[i] = 1
-        total = np.bincount(row, weights=each, minlength=len(offsets) - 1).astype(np.int64)
+        text, _, at, ends, row, marks = splitter.split(data, offsets)
+        symbols = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        place = np.append(np.flatnonzero((symbols & 0xC0) != 0x80), len(symbols))  # of code points in bytes
+        at, ends = place[at], place[ends]
+        if vocabulary.ends_words and len(at):
+            symbols = symbols.astype(np.uint16)
+            symbols[ends - 1] += 256
+        each = transducer.counts(symbols, at, ends)
+        each[list(marks)] = 1
+        upto = np.concatenate([[0], np.cumsum(each)])  # the prefix sum
+        first = np.searchsorted(row, np.arange(len(offsets)))
+        total = np.diff(upto[first])
         return {"n_bytes": np.diff(offsets), "n_tokens": total, "over_limit": total > limit}
 
     return work
@@ -136,24 +144,54 @@ class Decoder:
         return self.bytes[spread(self.first[ids], size)], np.cumsum(size)
 
 
-def encoder(path: str, lowers: bool, texts: bool):
+def different(points: np.ndarray, at: np.ndarray, ends: np.ndarray, alone: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that differ from one another, and for every span which of these it equals. Spans of one hash are compared; those in `alone` equal no other."""
+    _, where, inverse = np.unique(hashes(points, at, ends), return_index=True, return_inverse=True)
+    first = where[inverse]
+    odd = (ends - at) != (ends - at)[first]
+    odd[alone] = True
+    same = np.flatnonzero(~odd)
+    size = (ends - at)[same]
+    wrong = points[spread(at[same], size)] != points[spread(at[first[same]], size)]
+    if wrong.any():
+        odd[same[np.unique(np.repeat(np.arange(len(same)), size)[wrong])]] = True
+    odd |= odd[first]  # what would stand for others has to equal them
+    if not odd.any():
+        return where, inverse
+    more = np.flatnonzero(odd)
+    number = np.empty(len(at), np.int64)
+    number[:] = inverse
+    number[more] = len(where) + np.arange(len(more))
+    return np.concatenate([where, more]), number
+
+
+@functools.lru_cache(2)
+def _encoding(path: str, lowers: bool) -> tuple[Vocabulary, Splitter, BacktrackingEncoder, Decoder, dict[str, list[int]]]:
+    """What a worker keeps from task to task; the last are ids by pretoken."""
     vocabulary = Vocabulary(path)
-    splitter, machine, decoder = Splitter(vocabulary, lowers), BacktrackingEncoder(vocabulary), Decoder(vocabulary)
-    known: dict[int, list[int]] = {}
+    return vocabulary, Splitter(vocabulary, lowers), BacktrackingEncoder(vocabulary), Decoder(vocabulary), {}
+
+
+def encoder(path: str, lowers: bool, texts: bool):
+    vocabulary, splitter, machine, decoder, known = _encoding(path, lowers)
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict:
         n = len(offsets) - 1
-        text, at, ends, h, row, marks = splitter.split(data, offsets)
-        if marks:
-            h[list(marks)] = np.fromiter(marks.values(), np.uint64, len(marks))
-        unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        text, points, at, ends, row, marks = splitter.split(data, offsets)
+        where, inverse = different(points, at, ends, list(marks))
         if len(known) > MEMORY:
             known.clear()
         lists = []
-        for key, k in zip(unique.tolist(), where.tolist(), strict=True):
-            ids = [marks[k]] if k in marks else known.get(key)
+        for k in where.tolist():
+            if k in marks:
+                lists.append([marks[k]])
+                continue
+            word = text[at[k] : ends[k]]
+            ids = known.get(word)
             if ids is None:
-                ids = known[key] = machine.encode(vocabulary.word(text[at[k] : ends[k]]))
+                ids = machine.encode(vocabulary.word(word))
+                if len(word) <= LONG:
+                    known[word] = ids
             lists.append(ids)
         pool, first = flat(lists)
         size = np.diff(first)[inverse]
