@@ -105,15 +105,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Flipping the sign bit makes negative ids sort before others; nulls sort before all digits.
     id_digits = F.lpad(F.lower(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
-    rows = rows.withColumn("place", F.concat(F.coalesce(id_digits, F.lit("-" * 16)), F.sha2("text", 256)))
-    names = docs.select(F.substring(F.coalesce(id_digits, F.lit("-" * 16)), 1, BLOCK).alias("hot"))
-    hot = cut(names.groupBy("hot").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hot"))
-    rows = rows.withColumn("block", F.substring("place", 1, BLOCK))
+    digits = F.coalesce(id_digits, F.lit("-" * 16))
+    own = F.substring(digits, 1, BLOCK)
+    hot = cut(docs.groupBy(own.alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hot"))
     many = hot.count()
+    rows = rows.withColumn("block", own)
     if many:
         rows = rows.join(F.broadcast(hot) if many <= BROADCAST_HOT else hot, F.col("block") == F.col("hot"), "left")
-        rows = rows.withColumn("block", F.when(F.col("hot").isNull(), F.col("block")).otherwise(F.substring("place", 1, NARROW))).drop("hot")
-    order = Window.partitionBy("block").orderBy("place")
+        narrow = F.concat(digits, F.substring(F.sha2("text", 256), 1, NARROW - 16))
+        rows = rows.withColumn("block", F.when(F.col("hot").isNull(), F.col("block")).otherwise(narrow)).drop("hot")
+    order = Window.partitionBy("block").orderBy(F.asc_nulls_first("doc_id"), F.sha2("text", 256))
     placed = rows.withColumns({"next_text": F.lead("text").over(order), "before": F.lag(F.lit(1)).over(order)})
     inner = placed.where("next_text is not null").select("doc_id", "text", "next_text")
     lasts = placed.where("next_text is null").select("doc_id", "text", "block")
