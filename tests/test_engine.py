@@ -2,9 +2,10 @@ import random
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import doctor
-from tidemark.engine import PHASES, Engine
+from tidemark.engine import OF_DOCUMENTS, PHASES, DriftError, Engine, Fault
 from tidemark.locks import FileLocks, LockTimeout, ProcessLocks
 from tidemark.operators import state
 from tidemark.plans.config import Dataset, Processing, Profile, processing_of
@@ -36,32 +37,37 @@ def assert_converged(engine, docs, processing=None):
 
 def test_lifecycle(spark, tmp_path):
     engine = Engine(spark, str(tmp_path))
-    docs = {"bob.md": ("Bobby works for SharedOrg and AlphaCorp.", "L", None, None), "carol.md": ("Carol works for SharedOrg.", None, ["n"], 0.5)}
+    docs = {"ferry.md": ("Ferries leave Lundhaven and Oakmere daily.", "L", None, None), "bus.md": ("Buses serve Lundhaven.", None, ["n"], 0.5)}
     assert engine.sync(DATA, frame(spark, docs)) == {"upsert": 2}
-    assert {r.name: r.n_refs for r in engine.graph(DATA).collect()} == {"Bobby": 1, "SharedOrg": 2, "AlphaCorp": 1, "Carol": 1}
+    assert {r.name: r.n_refs for r in engine.graph(DATA).collect()} == {"Ferries": 1, "Lundhaven": 2, "Oakmere": 1, "Buses": 1}
     assert engine.sync(DATA, frame(spark, docs)) == {}
-    docs["bob.md"] = ("Bobby works for BetaCorp.", "L", None, None)
+    docs["ferry.md"] = ("Ferries leave Stromby now.", "L", None, None)
     assert engine.sync(DATA, frame(spark, docs)) == {"replace": 1}
-    assert {r.name for r in engine.graph(DATA).collect()} == {"Bobby", "BetaCorp", "SharedOrg", "Carol"}
-    docs["carol.md"] = ("Carol works for SharedOrg.", "new", ["n"], 0.75)
+    assert {r.name for r in engine.graph(DATA).collect()} == {"Ferries", "Stromby", "Lundhaven", "Buses"}
+    docs["bus.md"] = ("Buses serve Lundhaven.", "new", ["n"], 0.75)
     assert engine.sync(DATA, frame(spark, docs)) == {"recreate": 1}
-    docs["bob.md"] = ("Bobby works for BetaCorp.", "other", None, None)
+    docs["ferry.md"] = ("Ferries leave Stromby now.", "other", None, None)
     assert engine.sync(DATA, frame(spark, docs)) == {"update_metadata": 1}
     newer = Processing(extras=(("code", "2"),))
     assert engine.sync(DATA, frame(spark, docs), processing=newer) == {"replace": 2}
     assert_converged(engine, docs, newer)
-    del docs["carol.md"]
+    del docs["bus.md"]
     assert engine.sync(DATA, frame(spark, docs), processing=newer) == {"delete": 1}
-    assert {r.name for r in engine.graph(DATA).collect()} == {"Bobby", "BetaCorp"}
-    expected = spark.createDataFrame([("bob.md", "L"), ("gone.md", None)], "external_key string, label string")
+    assert {r.name for r in engine.graph(DATA).collect()} == {"Ferries", "Stromby"}
+    expected = spark.createDataFrame([("ferry.md", "L"), ("gone.md", None)], "external_key string, label string")
     report = engine.verify(DATA, expected)
     assert (report["checked"], sorted(i["kind"] for i in report["first"]), report["ok"]) == (2, ["label_mismatch", "missing"], False)
-    assert engine.store(DATA).vacuum("raw") > 0 and engine.documents(DATA).count() == 1
-    assert not engine.teardown(Dataset("rt", "docs", managed_by="user")) and engine.teardown(DATA)
+    assert all(engine.store(DATA).vacuum(name) == 0 for name in engine.store(DATA).names()) and engine.documents(DATA).count() == 1
+    mine = Dataset("rt", "docs", managed_by="user")
+    assert engine.sync(mine, frame(spark, docs), processing=newer) == {}  # handed over to its user
+    assert not engine.teardown(DATA) and engine.documents(DATA).count() == 1
+    assert engine.sync(DATA, frame(spark, docs), processing=newer) == {"replace": 1}  # taken back: nothing of it is sure
+    assert_converged(engine, docs, newer)
+    assert engine.teardown(DATA) and not engine.teardown(DATA)
     assert engine.documents(DATA).count() == 0
 
 
-@pytest.mark.parametrize("phase", PHASES)
+@pytest.mark.parametrize("phase", PHASES + OF_DOCUMENTS)
 def test_fault_windows(spark, tmp_path, phase):
     def fail():
         raise OSError("injected")
@@ -117,6 +123,77 @@ def test_refusals(spark, tmp_path):
         engine.sync(DATA, twice)
 
 
+def test_documents_are_checked_when_declared(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    for bad in (("x", None, ["n", "n"], None), ("x", None, [" "], None), ("x", None, None, float("nan")), ("x", None, None, float("inf"))):
+        with pytest.raises(ValueError):
+            engine.sync(DATA, frame(spark, {"k": bad}))
+    rows = "external_key string, content string, external_metadata string"
+    for bad in ("[1]", "{'a'", '{"a": NaN}'):
+        with pytest.raises(Exception, match="JSON|Expecting|compliant"):
+            engine.sync(DATA, spark.createDataFrame([("k", "x", bad)], rows))
+    assert engine.sync(DATA, spark.createDataFrame([("k", "x", '{"a": 1, "b": [2.0]}')], rows)) == {"upsert": 1}
+    assert engine.sync(DATA, spark.createDataFrame([("k", "x", '{"b":[2.0],  "a":1}')], rows)) == {}
+    assert engine.sync(DATA, spark.createDataFrame([("k", "x", '{"b":[2.0],  "a":2}')], rows)) == {"replace": 1}
+
+
+def test_bytes_are_not_text(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    text, data = spark.createDataFrame([("k", "Alpha")], "external_key string, content string"), spark.createDataFrame([("k", bytearray(b"Alpha"))], "external_key string, content binary")
+    assert [engine.sync(DATA, x) for x in (text, text, data, data)] == [{"upsert": 1}, {}, {"replace": 1}, {}]
+    odd = spark.createDataFrame([("k", bytearray(b"Alpha \xff\xfe Bravo"))], "external_key string, content binary")
+    assert engine.sync(DATA, odd) == {"replace": 1}
+    assert {r.name for r in engine.graph(DATA).collect()} == {"Alpha", "Bravo"}
+
+
+def test_chunks_and_edges(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    docs = frame(spark, {"a": ("Alpha Bravo Delta", None, None, None), "b": ("Alpha Bravo", None, None, None)})
+    profile = Profile(relations=neighbours, chunk_size=12)
+    engine.sync(DATA, docs, profile)
+    assert {r.name for r in engine.graph(DATA).collect()} == {"Alpha", "Bravo", "Delta"}
+    assert {(r.source, r.target, r.n_refs) for r in engine.edges(DATA).collect()} == {("Alpha", "Bravo", 2)}  # Delta is in a chunk of its own
+    engine.sync(DATA, docs.where("external_key = 'b'"), profile)
+    assert {(r.source, r.target, r.n_refs) for r in engine.edges(DATA).collect()} == {("Alpha", "Bravo", 1)}
+
+
+def neighbours(text):
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    pairs = F.arrays_zip(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)))
+    return F.when(F.size(words) > 1, F.transform(pairs, lambda p: F.struct(p["0"].alias("source"), p["1"].alias("target"), F.lit("next").alias("relationship_name"))))
+
+
+def test_a_folder_belongs_to_one_dataset(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    docs = frame(spark, {"a": ("Alpha", None, None, None)})
+    engine.sync(DATA, docs)
+    engine.store(DATA).note("manifest", '{"identity": 1}')
+    with pytest.raises(DriftError, match="identity"):
+        engine.sync(DATA, docs)
+
+
+def test_little_is_written_for_little_changes(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    docs = {f"k{i}": (f"Content{i} " * 50, None, None, None) for i in range(200)}
+    engine.sync(DATA, frame(spark, docs))
+    base = engine.store(DATA).state("raw")["base"]
+    docs["k7"] = ("Other", None, None, None)
+    del docs["k8"]
+    assert engine.sync(DATA, frame(spark, docs)) == {"replace": 1, "delete": 1}
+    now = engine.store(DATA).state("raw")
+    assert now["base"] == base and spark.read.parquet(f"{engine.store(DATA).root}/raw/{now['layer']}").count() == 3
+    assert_converged(engine, docs)
+
+
+def test_faults_count_calls():
+    fault = Fault(OSError("x"), times=2, after=1)
+    fault()
+    for _ in range(2):
+        with pytest.raises(OSError):
+            fault()
+    fault()
+
+
 def test_config():
     assert Processing(extras=(("b", "1"), ("a", "2"))).fingerprint == Processing(extras=(("a", "2"), ("b", "1"))).fingerprint
     prints = {Processing(**{k: v}).fingerprint for k, v in (("chunk_size", 5), ("prompt", "x"), ("model", "m"), ("temporal", True), ("schema", "s"), ("extractor", "e"), ("extras", (("a", "b"),)))}
@@ -156,7 +233,7 @@ def test_locks(tmp_path, kind):
         assert failed
     with make().lock("s"):
         pass
-    assert not locks._held
+    assert not locks._held and Engine(None, "a").locks is Engine(None, "b").locks
     with pytest.raises(ValueError), make().lock(""):
         pass
 
@@ -167,6 +244,13 @@ def test_store(spark, tmp_path):
     store.write("t", spark.range(3).withColumnRenamed("id", "a"))
     store.write("t", store.read("t", "a long").where("a > 0"))
     assert store.read("t", "a long").count() == 2 and store.vacuum("t") == 1
+    store.change("t", "a long", "a", spark.createDataFrame([(2,), (9,)], "a long"), spark.createDataFrame([(9,), (9,)], "a long"), share=100)
+    assert sorted(r.a for r in store.read("t", "a long").collect()) == [1, 9, 9] and store.state("t")["layer"]
+    store.change("t", "a long", "a", spark.createDataFrame([(9,), (1,)], "a long"), spark.createDataFrame([(1,)], "a long"), share=100)
+    assert [r.a for r in store.read("t", "a long").collect()] == [1]
+    store.change("t", "a long", "a", spark.createDataFrame([(5,)], "a long"), spark.createDataFrame([(5,)], "a long"), share=0)
+    assert sorted(r.a for r in store.read("t", "a long").collect()) == [1, 5] and store.state("t")["layer"] is None
+    assert store.vacuum("t") > 0 and store.names() == ["t"] and store.note("x") is None and store.note("x", "y") == store.note("x") == "y"
 
 
 def test_doctor(spark, tmp_path):

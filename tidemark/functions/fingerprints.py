@@ -24,6 +24,11 @@ def content_fp(content: Column, binary: bool = False) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("6200" if binary else "7300")), content if binary else F.encode(content, "UTF-8")), 256)
 
 
+def stored_fp(content: Column, content_bytes: Column) -> Column:
+    """Of a document that is either text or, where there are bytes, these."""
+    return F.when(content_bytes.isNotNull(), content_fp(content_bytes, binary=True)).otherwise(content_fp(content))
+
+
 def optional_fp(value: Column) -> Column:
     """Of a nullable scalar; null differs from every value."""
     return F.sha2(F.coalesce(F.concat(F.lit("v"), value.cast("string")), F.lit("n")), 256)
@@ -84,6 +89,21 @@ def exact_json_fp(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else exact_json(json.loads(t)))
 
 
+@F.pandas_udf(StringType())
+def canonical_object_text(texts: pd.Series) -> pd.Series:
+    """JSON objects in canonical form; what is none, or has NaN or infinity, is an error. Null for null."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        value = json.loads(t)
+        if not isinstance(value, dict):
+            raise TypeError("external metadata must be a JSON object")
+        return canonical_json(value)
+
+    return texts.map(one)
+
+
 def advisory_key(scope: str) -> int:
     """A signed 64-bit lock number of a scope."""
     return int.from_bytes(hashlib.blake2b(scope.encode(), digest_size=8).digest(), "big", signed=True)

@@ -39,9 +39,17 @@ def _nfc(keys: pd.Series) -> pd.Series:
 
 
 def normalize_key(key: Column) -> Column:
-    """NFC; null for keys that are not valid (null, empty, with NUL). Only non-ASCII keys reach Python."""
-    odd = F.when(~key.rlike(r"\A[\x00-\x7F]*\z"), key)
-    return F.when(key.isNotNull() & (key != "") & ~key.contains("\0"), F.coalesce(_nfc(odd), key))
+    """NFC; null for keys that are not valid (null, empty, with NUL). All rows pass a Python operator, in which only non-ASCII keys have a value; where all keys are ASCII, `valid_key` does the same in the JVM."""
+    return valid_key(F.coalesce(_nfc(F.when(~is_ascii(key), key)), key))
+
+
+def is_ascii(key: Column) -> Column:
+    return key.rlike(r"\A[\x00-\x7F]*\z")
+
+
+def valid_key(key: Column) -> Column:
+    """The key, null if it is not valid."""
+    return F.when(key.isNotNull() & (key != "") & ~key.contains("\0"), key)
 
 
 def uuid5(namespace: str, name: Column) -> Column:

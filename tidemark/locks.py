@@ -67,3 +67,7 @@ class FileLocks:
                         raise LockTimeout("the dataset is locked by another process") from None
                     time.sleep(self.poll)
             yield
+
+
+#: What engines of one process share, so that two of them exclude each other.
+SHARED = ProcessLocks()

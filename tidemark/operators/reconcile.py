@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fingerprints as fp
-from tidemark.functions.identity import RECORD_VERSION, document_id, normalize_key
+from tidemark.functions.identity import RECORD_VERSION, document_id
 
 FIELDS = ("data_id", "content_fp", "annotations_fp", "metadata_fp", "processing_fp", "weight_fp")
 RECORD = "struct<" + ", ".join(f"{f}:string" for f in FIELDS) + ", schema_version:int>"
@@ -20,11 +20,11 @@ DERIVING = ("data_id", "content_fp", "annotations_fp", "processing_fp", "schema_
 
 
 def record(data_id: Column, processing_fp: Column | str) -> Column:
-    """The tracking record of a desired document (content, label, external_metadata, node_set, importance_weight); every field is non-null."""
+    """The tracking record of a desired document (content or content_bytes, label, external_metadata, node_set, importance_weight); every field is non-null."""
     processing = processing_fp if isinstance(processing_fp, Column) else F.lit(processing_fp)
     values = (
         data_id,
-        fp.content_fp(F.col("content")),
+        fp.stored_fp(F.col("content"), F.col("content_bytes")),
         fp.annotations_fp(F.col("external_metadata"), F.col("node_set")),
         fp.optional_fp(F.col("label")),
         processing,
@@ -34,9 +34,8 @@ def record(data_id: Column, processing_fp: Column | str) -> Column:
 
 
 def declared(docs: DataFrame, runtime_key: str, scope: str, tenant: str, dataset: str, processing_fp: Column | str) -> DataFrame:
-    """Desired rows: the normal key, the id and the record; content is left out, fingerprints stand for it."""
-    rows = docs.withColumn("external_key", normalize_key(F.col("external_key")))
-    rows = rows.withColumn("data_id", document_id(runtime_key, scope, tenant, dataset, F.col("external_key")))
+    """Desired rows: the key, which has to be normal, the id and the record; content is left out, fingerprints stand for it."""
+    rows = docs.withColumn("data_id", document_id(runtime_key, scope, tenant, dataset, F.col("external_key")))
     return rows.select("external_key", "data_id", record(F.col("data_id"), processing_fp).alias("desired"))
 
 

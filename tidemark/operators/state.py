@@ -1,6 +1,6 @@
 """State changes as pure functions of DataFrames: the batch plan, upsert, purge, delete, derivation gate.
 
-raw: dataset_id, data_id, content, label, external_metadata, node_set, importance_weight, complete.
+raw: dataset_id, data_id, content, content_bytes (of documents that are no text), label, external_metadata, node_set, importance_weight, complete.
 derivatives: data_id, content_fp, profile_fp.
 """
 
@@ -9,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.fingerprints import content_fp
+from tidemark.functions.fingerprints import stored_fp
 
-PAYLOAD = ("content", "label", "external_metadata", "node_set", "importance_weight")
+PAYLOAD = ("content", "content_bytes", "label", "external_metadata", "node_set", "importance_weight")
 DERIVING_OPS = ("upsert", "replace", "recreate")
+ADDING_OPS = (*DERIVING_OPS, "update_metadata")
 
 
 def last_action(actions: DataFrame, key: str = "data_id", order: str = "seq") -> DataFrame:
-    """The last action of each id in a batch."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    """The last action of each id in a batch; of equal last ones the one with the greatest hash, so that it is always the same."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.xxhash64(*actions.columns)))
     return actions.withColumn("n__", F.row_number().over(w)).where("n__ = 1").drop("n__")
 
 
@@ -27,7 +28,7 @@ def batch_plan(actions: DataFrame) -> DataFrame:
     Deletes are deleted and stale ids without those that are added again, and all that are recreated; only
     replaced documents are purged: new ones have nothing to purge, recreated ones are gone already.
     """
-    added = actions.where(F.col("op").isin("upsert", "replace", "recreate", "update_metadata")).select("data_id").distinct()
+    added = actions.where(F.col("op").isin(*ADDING_OPS)).select("data_id").distinct()
     recreated = actions.where("op = 'recreate'").select("data_id")
     gone = actions.where("op = 'delete'").select("data_id").unionByName(actions.select(F.explode("stale_ids").alias("data_id")))
     deletes = gone.join(added, "data_id", "left_anti").unionByName(recreated).distinct()
@@ -52,7 +53,7 @@ def upsert(raw: DataFrame, payload: DataFrame) -> DataFrame:
     new = payload.select(F.lit(True).alias("new__"), F.col("dataset_id").alias("dataset__"), F.col("data_id"), *(F.col(c).alias(f"{c}__") for c in PAYLOAD))
     both = raw.withColumn("old__", F.lit(True)).join(new, "data_id", "full_outer")
     is_new, is_old = F.col("new__").isNotNull(), F.col("old__").isNotNull()
-    changed = content_fp(F.col("content")) != content_fp(F.col("content__"))
+    changed = stored_fp(F.col("content"), F.col("content_bytes")) != stored_fp(F.col("content__"), F.col("content_bytes__"))
     fields = [F.when(is_new, F.col(f"{c}__")).otherwise(F.col(c)).alias(c) for c in PAYLOAD if c != "importance_weight"]
     weight = F.when(is_old, F.col("importance_weight")).otherwise(F.col("importance_weight__")).alias("importance_weight")
     complete = F.when(~is_old | (is_new & changed), False).otherwise(F.col("complete")).alias("complete")
@@ -78,14 +79,14 @@ def incomplete(raw: DataFrame) -> DataFrame:
 def derive(raw: DataFrame, derivatives: DataFrame, profile_fp: Column | str) -> tuple[DataFrame, DataFrame]:
     """(raw, derivatives) after deriving all incomplete rows; older derivatives stay: nothing is purged here."""
     profile = profile_fp if isinstance(profile_fp, Column) else F.lit(profile_fp)
-    made = incomplete(raw).select("data_id", content_fp(F.col("content")).alias("content_fp"), profile.alias("profile_fp"))
+    made = incomplete(raw).select("data_id", stored_fp(F.col("content"), F.col("content_bytes")).alias("content_fp"), profile.alias("profile_fp"))
     return raw.withColumn("complete", F.lit(True)), derivatives.unionByName(made).distinct()
 
 
 def unconverged(raw: DataFrame, derivatives: DataFrame, profile_fp: str | None = None) -> DataFrame:
     """Ids whose derivatives are absent, stale or of another profile."""
     have = derivatives.groupBy("data_id").agg(F.collect_set("content_fp").alias("fps"), F.collect_set("profile_fp").alias("profiles"))
-    rows = raw.select("data_id", "complete", content_fp(F.col("content")).alias("own")).join(have, "data_id", "left")
+    rows = raw.select("data_id", "complete", stored_fp(F.col("content"), F.col("content_bytes")).alias("own")).join(have, "data_id", "left")
     right = F.col("complete") & (F.size("fps") == 1) & F.array_contains("fps", F.col("own"))
     if profile_fp is not None:
         right &= F.array_contains("profiles", profile_fp)
@@ -94,7 +95,7 @@ def unconverged(raw: DataFrame, derivatives: DataFrame, profile_fp: str | None =
 
 def has_stale_derivatives(raw: DataFrame, derivatives: DataFrame) -> DataFrame:
     """Ids with a derivative of a content other than their own."""
-    own = raw.select("data_id", content_fp(F.col("content")).alias("own"))
+    own = raw.select("data_id", stored_fp(F.col("content"), F.col("content_bytes")).alias("own"))
     return derivatives.join(own, "data_id").where("content_fp <> own").select("data_id").distinct()
 
 

@@ -17,6 +17,8 @@ class Profile:
     chunk_size: int | None = None
     prompt: str | None = None
     temporal: bool = False
+    #: Edges of a text: a function of a text Column that gives an array of struct<source, target, relationship_name>.
+    relations: Callable | None = None
 
     def __post_init__(self) -> None:
         if self.chunk_size is not None and (isinstance(self.chunk_size, bool) or not isinstance(self.chunk_size, int)):
@@ -38,6 +40,7 @@ class Processing:
     """Settings that derivatives depend on; `extras` is for versions of code that no setting shows."""
 
     extractor: str = "tidemark.operators.derive.capitalized"
+    relations: str | None = None
     schema: str = "array<string>"
     chunk_size: int = 1000
     prompt: str | None = None
@@ -67,6 +70,7 @@ def processing_of(profile: Profile, model: str = "rules", extras: tuple = ()) ->
     base = Processing()
     return Processing(
         extractor=qualified_name(profile.extractor) if profile.extractor else base.extractor,
+        relations=qualified_name(profile.relations) if profile.relations else None,
         chunk_size=profile.chunk_size or base.chunk_size,
         prompt=profile.prompt or None,
         model=model,

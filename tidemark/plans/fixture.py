@@ -31,6 +31,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("external_key"),
         F.col("text").alias("content"),
+        F.lit(None).cast("binary").alias("content_bytes"),
         F.col("lang").alias("label"),
         F.lit(None).cast("string").alias("external_metadata"),
         F.array("source", "lang").alias("node_set"),
@@ -75,7 +76,10 @@ def kept(frame: DataFrame) -> DataFrame:
     """A checkpoint in the cluster's shared folder, for plans that read a frame several times."""
     sc = frame.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return frame.checkpoint()
 
 

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def folder(spark: SparkSession, root: str, glob: str = "*.{md,txt}") -> DataFrame:
+GLOB = "*.{md,txt}"
+
+
+def resolved(root: str) -> str:
+    """A local root without `..` and symbolic links; another one as it is."""
+    if root.startswith("file:"):
+        return os.path.realpath("/" + root[5:].lstrip("/"))
+    return root if re.match(r"[a-z0-9]+:", root) else os.path.realpath(root)
+
+
+def folder(spark: SparkSession, root: str, glob: str = GLOB) -> DataFrame:
     """external_key (the path below root, with slashes) and content of every matching file below root."""
+    root = resolved(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     return files.select(document_key(F.col("path"), root).alias("external_key"), F.decode("content", "UTF-8").alias("content"))
 
