@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fingerprints as fp
@@ -262,7 +262,7 @@ def files(s, d) -> DataFrame:
 
 _SQL_FILES = f"""files AS (SELECT path, size, lower(path) AS p, string_split(lower(path), '/') AS parts, string_split(lower(path), '/')[-1] AS b FROM (SELECT {_PATH} AS path, length(html)::BIGINT AS size FROM pages)),
 named AS (SELECT *, CASE WHEN contains(b, '.') THEN '.' || string_split(b, '.')[-1] ELSE '' END AS x FROM files),
-classed AS (SELECT *, CASE WHEN b IN {_in(paths.LOCKS)} OR x IN {_in(paths.BINARY)} OR list_has_any(parts, ['vendor','vendored','third_party','node_modules','dist','generated','__generated__']) THEN 'generated/vendor/binary'
+classed AS (SELECT *, CASE WHEN b IN {_in(paths.LOCKS)} OR x IN {_in(paths.BINARY)} OR list_has_any(parts, {paths.VENDORED + paths.GENERATED!r}) THEN 'generated/vendor/binary'
  WHEN parts[1] = '.github' OR b IN {_in(paths.BUILD)} OR parts[1] IN {_in(paths.OPS)} OR (x IN ('.yml','.yaml') AND regexp_matches(p, 'docker-compose|compose\\.|ci|workflow|helm|k8s|kubernetes')) THEN 'build/CI'
  WHEN list_has_any(parts, {paths.TESTS!r}) OR starts_with(b, 'test_') OR ends_with(b, '_test.py') THEN 'test'
  WHEN parts[1] IN {_in(paths.EXAMPLES)} OR x IN {_in(paths.DOCUMENTS)} THEN 'docs/example' WHEN x IN {_in(paths.SOURCE + paths.FRONTEND)} THEN 'first-party source' ELSE 'irrelevant' END AS category,
@@ -638,15 +638,26 @@ def r11(s, d):
     return rc.reconcile(fx.desired(s, d), t, fx.IDENTITY).agg(F.count_if(F.col("op").isNotNull()).alias("n_actions"))
 
 
-@query("r12_crash_before_commit", f"WITH {fx.STATE} SELECT coalesce(op, 'none') AS op, count(*) AS n FROM actions GROUP BY 1")
+@query(
+    "r12_crash_before_commit",
+    f"""WITH {fx.STATE},
+recs AS (SELECT external_key, data_id, content_fp, annotations_fp, metadata_fp, processing_fp, weight_fp, missing FROM prev
+ UNION SELECT o.external_key, o.data_id, o.content_fp, o.annotations_fp, o.metadata_fp, o.processing_fp, o.weight_fp, a.missing FROM own o JOIN actions a USING (external_key) WHERE a.op IS NOT NULL),
+again AS (SELECT a.external_key, a.op AS first_op, o.external_key IS NOT NULL AS wanted, count(r.external_key) AS n, a.missing OR coalesce(a.op = 'delete', false) AS missing,
+  bool_or(coalesce(r.weight_fp <> o.weight_fp, false)) AS other_weight,
+  bool_and(coalesce(r.data_id = o.data_id AND r.content_fp = o.content_fp AND r.annotations_fp = o.annotations_fp AND r.processing_fp = o.processing_fp, false)) AS safe,
+  bool_and(coalesce(r.data_id = o.data_id AND r.content_fp = o.content_fp AND r.annotations_fp = o.annotations_fp AND r.processing_fp = o.processing_fp AND r.weight_fp = o.weight_fp AND r.metadata_fp = o.metadata_fp, false)) AS equal
+ FROM actions a LEFT JOIN own o USING (external_key) LEFT JOIN recs r USING (external_key) GROUP BY ALL),
+planned AS (SELECT coalesce(first_op, 'none') AS first_op, CASE WHEN NOT wanted THEN 'delete' WHEN n = 0 THEN CASE WHEN missing THEN 'upsert' END WHEN equal AND NOT missing THEN NULL WHEN other_weight THEN 'recreate'
+  WHEN equal THEN 'replace' WHEN safe AND NOT missing THEN 'update_metadata' ELSE 'replace' END AS op FROM again)
+SELECT first_op, coalesce(op, 'none') AS op, count(*) AS n FROM planned GROUP BY ALL""",
+)
 def r12(s, d):
-    """A run that crashed after its intents were logged: the next one plans the same operations again."""
+    """A run that crashed after its intents were logged: what was planned, and what the next run plans."""
     t = rc.precommit(fx.tracking(s, d), fx.actions(s, d))
-    first = fx.actions(s, d).select("external_key", F.col("op").alias("first_op"))
-    again = rc.reconcile(fx.desired(s, d), t, fx.IDENTITY).join(first, "external_key")
-    # What was planned stays planned, if not always as the same operation; nothing unplanned appears.
-    kept = F.when(F.col("op").isNotNull() & F.col("first_op").isNotNull(), F.col("first_op")).when(F.col("op").isNull() & F.col("first_op").isNull(), "none").otherwise("changed")
-    return again.groupBy(kept.alias("op")).agg(F.count("*").alias("n"))
+    first = fx.actions(s, d).select("external_key", F.coalesce("op", F.lit("none")).alias("first_op"))
+    again = rc.reconcile(fx.desired(s, d), t, fx.IDENTITY).select("external_key", "op").join(first, "external_key")
+    return again.groupBy("first_op", F.coalesce("op", F.lit("none")).alias("op")).agg(F.count("*").alias("n"))
 
 
 @query("r14_uncertainty", f"WITH {fx.STATE} SELECT external_key, missing OR (m_key % 3 = 0) AS missing FROM (SELECT *, length(external_key) AS m_key FROM keyed WHERE is_tracked)")
@@ -708,7 +719,8 @@ def v1(s, d):
     return _drift(s, d).select("kind", "data_id", "external_key")
 
 
-@query("x2_call_log", f"{_PLAN} SELECT phase, array_to_string(list_sort(list(data_id)), ',') AS ids FROM planned GROUP BY phase")
+@query("x2_call_log", f"{_PLAN} SELECT phase, data_id, row_number() OVER (PARTITION BY phase, substr(data_id, 1, 2) ORDER BY data_id) AS place FROM planned")
 def x2(s, d):
-    """What a run would call, phase by phase: the report of a small batch."""
-    return planned(s, d).groupBy("phase").agg(F.array_join(F.array_sort(F.collect_list("data_id")), ",").alias("ids"))
+    """What a run would call, phase by phase: each id with its place among those of equal first digits, in which order calls are made."""
+    order = Window.partitionBy("phase", F.substring("data_id", 1, 2)).orderBy("data_id")
+    return planned(s, d).select("phase", "data_id", F.row_number().over(order).cast("long").alias("place"))
