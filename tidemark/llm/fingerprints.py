@@ -51,7 +51,10 @@ def paragraphs(section: Column) -> Column:
 
 
 def leaves(section: Column) -> Column:
-    return F.flatten(F.transform(F.regexp_extract_all(section, F.lit(PIECE), F.lit(0)), lambda p: F.regexp_extract_all(p, F.lit(LEAF), F.lit(0))))
+    def cut_up(piece: Column) -> Column:
+        return F.when(F.length(piece) <= 32, F.array(piece)).otherwise(F.regexp_extract_all(piece, F.lit(LEAF), F.lit(0)))
+
+    return F.flatten(F.transform(F.regexp_extract_all(section, F.lit(PIECE), F.lit(0)), cut_up))
 
 
 def tree(text: Column) -> Column:
