@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid
@@ -48,6 +50,53 @@ def test_pages(spark):
     assert [got[i] for i in range(60)] == ["en", "de", "fr"] * 20 and got[60] == got[61] == "und"
 
 
+def test_posterior_by_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, text(("en", "de", "fr")[i % 3], r, r.randint(1, 12)), r.choice(["en", "de", None]), r.choice(["a.x.com", "b.x.com", "c.org", None]), r.choice(["com", "org", None])) for i in range(120)]
+    rows += [(500, None, "de", "a.x.com", "com"), (501, "", None, None, None), (502, rows[3][1], "en", "c.org", "org"), (502, rows[3][1], "en", "c.org", "org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string, suffix string")
+    model = langid.train(table(spark))
+    k, weight = len(model.languages), 20.0
+    data = [(t or "").encode() for _, t, _, _, _ in rows]
+    score = model.score(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]), 150)
+    best = score.argmax(1)
+
+    def counts(of):
+        out = {}
+        for x, b in zip(of, best):
+            if x is not None:
+                out.setdefault(x, np.zeros(k))[b] += 1
+        return out
+
+    total = np.bincount(best, minlength=k).astype(float)
+    overall = (total + 1) / (total.sum() + k)
+    domain = [(h and ".".join(h.split(".")[-2:])) or "" for _, _, _, h, _ in rows]
+    domains, hosts = counts(domain), counts([x[3] for x in rows])
+    smooth = lambda c, p: (c + weight * p) / (c.sum() + weight)
+    evidence = [(counts([x[j] for x in rows]), j) for j in (2, 4)]
+    got = Counter((x.doc_id, x.lid__lang, round(x.lid__p, 6)) for x in langid.identify(docs, model, host=F.col("host"), suffix=F.col("suffix"), declared=F.col("lang")).collect())
+    want = Counter()
+    for i, row in enumerate(rows):
+        z = score[i] + np.log(smooth(hosts[row[3]], smooth(domains[domain[i]], overall)) if row[3] else overall)
+        for by, j in evidence:
+            if row[j] is not None:
+                z = z + np.log((by[row[j]] + 1) / (total + len(by) + 1))
+        want[row[0], model.languages[int(z.argmax())], round(float(1 / np.exp(z - z.max()).sum()), 6)] += 1
+    assert got == want
+
+
+def test_rows_of_one_id_are_one_training_row(spark):
+    docs = table(spark, 30).withColumn("doc_id", F.lit(1))
+    model = langid.train(docs)
+    assert len(model.languages) == 2  # one row, and und
+
+
+def test_pages_query(spark):
+    pages = spark.createDataFrame([(1, "http://a.de/x", "<html lang=de><p>" + text("de", random.Random(1), 30)), (2, None, None)], "page_id long, url string, html string")
+    got = {x.page_id: (x.language, x.kept) for x in langid.pages_language(pages, table(spark)).collect()}
+    assert got == {1: ("de", True), 2: ("und", False)}
+
+
 def test_empty(spark):
     docs = table(spark).limit(0)
     assert langid.op4_language_id(docs).count() == 0

@@ -38,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are done; they stay until the driver collects garbage, which on large heaps can be long."""
     gc.collect()

@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substrings": lambda s, d: substrings.op2_substrings(table(s, d, "documents")),
         "op3_jaccard": lambda s, d: jaccard.op3_jaccard(table(s, d, "documents")),
         "op4_language_id": lambda s, d: langid.op4_language_id(table(s, d, "documents")),
+        "pages_language": lambda s, d: langid.pages_language(table(s, d, "pages"), table(s, d, "documents")),
         "op5_token_counts": lambda s, d: tokens.token_counts(table(s, d, "documents")),
         "op6_bpe": lambda s, d: tokens.encode_decode(table(s, d, "documents")),
         "op7_fingerprints": lambda s, d: fingerprints.op7_fingerprints(table(s, d, "documents")),

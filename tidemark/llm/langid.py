@@ -8,7 +8,8 @@ log P(language | row) = text + declared + suffix + host prior, where
   host      is log P(language | host), smoothed towards its domain, that towards all rows.
 The last three come from one grouped aggregation over all rows of (host, domain, suffix, declared,
 language by text alone). A further class, `und`, has a uniform trigram model; rows that it wins are
-rejected. The trigram models are fitted on at most `most` labelled rows, those with the least hash.
+rejected. The trigram models are fitted on at most `most` labelled rows, those with the least hash of their
+key, of several with one key the least.
 
 Cases: null or empty texts, and texts without three bytes, have no text evidence; without any letter or
 trigram a row is rejected; null host, suffix or declared language gives no evidence of its kind; rows
@@ -85,8 +86,9 @@ class TrigramModel:
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", most: int = 2000) -> TrigramModel:
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     sample = known.select(F.col(key).alias("lid__key")).orderBy(F.xxhash64(key), key).limit(most).distinct()  # `most` numbers
-    rows = known.join(F.broadcast(sample), known[key] == F.col("lid__key")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    return TrigramModel.fit(rows.toArrow())
+    # Rows of one key are reduced to one where they are read, so no more than `most` texts meet.
+    rows = known.join(F.broadcast(sample), known[key] == F.col("lid__key")).groupBy("lid__key").agg(F.min(F.struct(F.col(lang).alias("lang"), F.col(text).alias("text"))).alias("r"))
+    return TrigramModel.fit(rows.select("r.lang", "r.text").toArrow())
 
 
 def host_of(url: str) -> Column:
@@ -182,6 +184,12 @@ def pages_identified(pages: DataFrame, model: TrigramModel) -> DataFrame:
     return identify(rows, model, text="lid__plain", host=host, suffix=F.substring_index(host, ".", -1), declared=markup_language("html")).drop("lid__plain")
 
 
+def pages_language(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pages table, with the trigram models of documents."""
+    rows = pages_identified(pages, train(docs))
+    return rows.select("page_id", F.col("lid__lang").alias("language"), F.round("lid__p", 6).alias("probability"), (F.col("lid__lang") != UND).alias("kept"))
+
+
 def op4_language_id(docs: DataFrame) -> DataFrame:
     rows = documents_identified(docs)
     return rows.select("doc_id", F.col("lid__lang").alias("language"), F.round("lid__p", 6).alias("probability"), (F.col("lid__lang") != UND).alias("kept"))
