@@ -52,7 +52,7 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     other = [c for c in docs.columns if c not in ("doc_id", "text") and "map<" not in docs.schema[c].dataType.simpleString()]
     rows = docs.withColumn("mix__size", size)
     kind = "cast(length(bin(mix__size)) * 8 + (shiftright(mix__size, greatest(length(bin(mix__size)) - 4, 0)) & 7) as int)"
-    rows = rows.withColumns({"mix__source": F.col("source"), "mix__class": F.expr(kind), "mix__hash": order, "mix__part": F.substring(order, 1, 2)})
+    rows = rows.withColumns({"mix__source": F.col("source"), "mix__class": F.expr(kind), "mix__hash": order, "mix__part": F.substring(order, 1, 2), "mix__none": F.col("text").isNull(), "mix__other": F.xxhash64(*other) if other else F.lit(0)})
     bucket = ["mix__source", "mix__class", "mix__part"]
     counts = rows.groupBy(*bucket).agg(F.count("*").alias("n"))
     first = F.sum("n").over(Window.partitionBy("mix__source").orderBy("mix__class", "mix__part").rowsBetween(Window.unboundedPreceding, -1))
@@ -60,7 +60,7 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     targets = source_targets(rows.select(F.col("source"), F.col("mix__size").alias("size")), weights, share, most)
     targets = targets.withColumnsRenamed({"source": "mix__of", "source_size": "mix__source_size", "target": "mix__target"})
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|offset|"), F.coalesce("mix__source", F.lit("\0")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    ranked = rows.withColumn("mix__rank", F.row_number().over(Window.partitionBy(*bucket).orderBy("mix__hash", "doc_id", F.col("text").isNull(), F.xxhash64(*other) if other else F.lit(0))))
+    ranked = rows.withColumn("mix__rank", F.row_number().over(Window.partitionBy(*bucket).orderBy("mix__hash", "doc_id", "mix__none", "mix__other")))
     ranked = ranked.join(counts, F.expr(" and ".join(f"{c} <=> {c}_" for c in bucket))).join(targets, F.expr("mix__source <=> mix__of"))
     rate = F.when(F.col("mix__source_size") > 0, F.col("mix__target") / F.col("mix__source_size")).otherwise(F.lit(0.0))
     place = (F.col("mix__first") + F.col("mix__rank")).cast("double")
