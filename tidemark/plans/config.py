@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from tidemark.functions.fingerprints import exact_json
 from tidemark.functions.identity import require_coordinate, require_runtime_key
+from tidemark.plans.settings import configured_inputs
 
 
 @dataclass(frozen=True)
@@ -65,17 +66,30 @@ class Processing:
         return exact_json({k: (dict(v) if k == "extras" else v) for k, v in vars(self).items()})
 
 
-def processing_of(profile: Profile, model: str = "rules", extras: tuple = ()) -> Processing:
-    """All settings of a profile with what is not given filled in; an empty prompt is none."""
+def schema_fingerprint(thing: object) -> str | None:
+    """Of what a function's `output_schema` gives (JSON, or a Spark type); None if it has none. One that fails is an error: left out, a change of it would go unseen."""
+    schema = getattr(thing, "output_schema", None)
+    if schema is None:
+        return None
+    try:
+        found = schema()
+        return exact_json(found.jsonValue() if hasattr(found, "jsonValue") else found)
+    except Exception as e:
+        raise ValueError(f"the output schema of {qualified_name(thing)} could not be had") from e
+
+
+def processing_of(profile: Profile, model: str = "rules", extras: tuple = (), settings: Mapping | None = None, include_models: bool = True) -> Processing:
+    """All settings of a profile with what is not given filled in; an empty prompt is none. settings: what is configured elsewhere (settings.py); include_models=False leaves it out, for callers that track it themselves."""
     base = Processing()
     return Processing(
         extractor=qualified_name(profile.extractor) if profile.extractor else base.extractor,
+        schema=schema_fingerprint(profile.extractor) or base.schema,
         relations=qualified_name(profile.relations) if profile.relations else None,
         chunk_size=profile.chunk_size or base.chunk_size,
         prompt=profile.prompt or None,
         model=model,
         temporal=profile.temporal,
-        extras=tuple(extras),
+        extras=(*extras, *(configured_inputs(settings) if settings and include_models else ())),
     )
 
 
