@@ -104,12 +104,23 @@ def payload_groups(payload: DataFrame) -> DataFrame:
     return payload.groupBy("node_set", "importance_weight").agg(F.count("*").alias("n"))
 
 
+def resolved(datasets: DataFrame, asked: DataFrame) -> DataFrame:
+    """(name, owner, tenant, dataset_id, n): for each dataset asked for (name, owner, tenant) its id, null if there is none, and how many there are."""
+    known = datasets.select(F.col("name").alias("n_"), F.col("owner").alias("o_"), F.col("tenant").alias("t_"), "dataset_id")
+    found = asked.select("name", "owner", "tenant").join(known, F.expr("name = n_ and owner = o_ and tenant <=> t_"), "left")
+    return found.groupBy("name", "owner", "tenant").agg(F.max("dataset_id").alias("dataset_id"), F.count("dataset_id").alias("n"))
+
+
 def resolve_dataset(datasets: DataFrame, name: str, owner: str, tenant: str | None) -> str | None:
     """The id of the owner's dataset of that name, None if there is none; more than one is an error."""
-    found = datasets.where((F.col("name") == name) & (F.col("owner") == owner) & F.col("tenant").eqNullSafe(F.lit(tenant))).select("dataset_id").limit(2).collect()
-    if len(found) > 1:
+    for what, value in (("name", name), ("owner", owner), ("tenant", tenant)):
+        if not isinstance(value, str) and not (what == "tenant" and value is None):
+            raise TypeError(f"the {what} must be a string")
+    asked = datasets.sparkSession.createDataFrame([(name, owner, tenant)], "name string, owner string, tenant string")
+    found = resolved(datasets, asked).first()
+    if found.n > 1:
         raise RuntimeError("more than one dataset has this name, owner and tenant")
-    return found[0][0] if found else None
+    return found.dataset_id
 
 
 def list_documents(raw: DataFrame) -> DataFrame:

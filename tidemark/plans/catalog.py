@@ -54,9 +54,7 @@ DATASETS = "datasets AS (SELECT 'ds-' || n_nationkey::VARCHAR AS dataset_id, low
 @query("s7_resolve_dataset", f"WITH {DATASETS}, asked AS (SELECT name, owner, tenant FROM datasets WHERE owner = 'user-0') SELECT a.name, a.tenant, max(x.dataset_id) AS dataset_id, count(x.dataset_id) AS n FROM asked a LEFT JOIN datasets x ON x.name = a.name AND x.owner = 'user-0' AND x.tenant IS NOT DISTINCT FROM a.tenant GROUP BY a.name, a.tenant")
 def s7(s, d):
     x = datasets(s, d)
-    asked = x.where("owner = 'user-0'").select(F.col("name").alias("a_name"), F.col("tenant").alias("a_tenant"))
-    hit = asked.join(x.where("owner = 'user-0'"), F.expr("name = a_name and tenant <=> a_tenant"), "left")
-    return hit.groupBy(F.col("a_name").alias("name"), F.col("a_tenant").alias("tenant")).agg(F.max("dataset_id").alias("dataset_id"), F.count("dataset_id").alias("n"))
+    return state.resolved(x, x.where("owner = 'user-0'")).select("name", "tenant", "dataset_id", "n")
 
 
 @query("f1_owned_datasets", f"WITH {DATASETS} SELECT dataset_id, name FROM datasets WHERE owner = 'user-0' AND tenant IS NOT DISTINCT FROM NULL")
