@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import jaccard
@@ -112,5 +113,16 @@ def test_a_very_long_text_and_many_equal_rows_without_an_id(spark):
     assert sorted((x.doc_id for x in kept), key=str) == [1, 3, None]
 
 
+def test_rows_of_shared_signatures_by_brute_force():
+    r = np.random.default_rng(9)
+    for _ in range(50):
+        rows = sorted((int(a), int(b)) for a, b in zip(r.integers(0, 12, 60), r.integers(0, 5, 60), strict=True))
+        cuts = sorted(r.integers(0, 61, 12).tolist())
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows[a:b]], pa.int64()), pa.array([x[1] for x in rows[a:b]], pa.int64())], ["sig", "set_id"]) for a, b in zip([0, *cuts], [*cuts, 60], strict=True)]
+        got = [(s, i) for out in jaccard._shared(batches) for s, i in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+        several = {s for s, _ in rows if len({i for t, i in rows if t == s}) > 1}
+        assert got == sorted({x for x in rows if x[0] in several})
+
+
 def test_empty(spark):
     assert jaccard.op3_jaccard(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, forest, map_text, text_slices, tidy
+from tidemark.llm.common import components, cut, drop, forest, map_text, text_slices, tidy, written
 from tidemark.llm.lexing import hashes
 
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -248,9 +248,9 @@ def _indexed(words: int, percent: int, text: str, **naming):
     return run
 
 
-def _stars(batches):
-    """Sorted (sig, set_id) in; (sig, first, set_id) out for every further set of a signature. Holds one batch and one row."""
-    last = None
+def _shared(batches):
+    """Sorted (sig, set_id) in; out the same rows, each once, of signatures with several sets. Holds one batch and one row."""
+    last = None  # the row before, and whether it was given out
     for batch in batches:
         sig, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(sig):
@@ -258,14 +258,18 @@ def _stars(batches):
         if last is not None:
             sig, ids = np.append(last[0], sig), np.append(last[1], ids)
         new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        first = ids[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-        other = first != ids
-        other[1:] &= (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-        if last is not None:
-            other[0] = False
-        last = sig[-1], first[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[other]), pa.array(first[other]), pa.array(ids[other])], ["sig", "first", "set_id"])
+        new[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+        given = bool(last and last[2])
+        at = np.flatnonzero(new)  # different rows; the first is the one before
+        with_before = np.zeros(len(at), bool)
+        with_before[1:] = sig[at[1:]] == sig[at[:-1]]
+        use = with_before.copy()
+        use[:-1] |= with_before[1:]
+        out = use.copy()
+        if last is not None and given:
+            out[0] = False
+        last = sig[-1], ids[-1], bool(use[-1]) or (len(at) == 1 and given)
+        yield pa.RecordBatch.from_arrays([pa.array(sig[at[out]]), pa.array(ids[at[out]])], ["sig", "set_id"])
 
 
 def _checked(words: int, percent: int):
@@ -428,10 +432,9 @@ def classes(docs: DataFrame, words: int, percent: int, text: str = "text", key:
         renamed = [*renamed, odd.column(0).to_numpy()]
     signed = rows.select("text").mapInArrow(_indexed(words, percent, "text", **naming), "sig long, set_id long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stars = cut(signed.repartition(parts, "sig").sortWithinPartitions("sig", "set_id").mapInArrow(_stars, "sig long, first long, set_id long"))
+    members, path = written(signed.repartition(parts, "sig").sortWithinPartitions("sig", "set_id").mapInArrow(_shared, "sig long, set_id long"))
     del signed
     tidy(docs.sparkSession)  # the signatures are the largest exchange here
-    members = cut(stars.select("sig", "set_id").union(stars.select("sig", F.col("first").alias("set_id")).distinct()))
     # The centre of a signature is its set with most signatures that others have too; a set is checked against the centre it meets most often.
     degrees = members.groupBy("set_id").agg(F.count("*").alias("degree"))
     centres = members.join(degrees, "set_id").groupBy("sig").agg(F.max(F.struct("degree", "set_id")).alias("c")).select("sig", F.col("c.set_id").alias("a"))
@@ -442,7 +445,8 @@ def classes(docs: DataFrame, words: int, percent: int, text: str = "text", key:
     tidy(docs.sparkSession)
     # Signatures whose sets are not all together: links across components.
     labelled = members.join(roots, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("label"))
-    more = _across(cut(labelled), sets, texts, words, percent)
+    more = _across(labelled, sets, texts, words, percent)
+    drop(docs.sparkSession, path)
     if not more.isEmpty():
         roots = components(linked.unionByName(more))
     tidy(docs.sparkSession)
