@@ -85,7 +85,7 @@ class Vocabulary:
                         break
                 if not got:
                     break
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
             self._fits[a, b] = got
         return got
@@ -151,7 +151,7 @@ class CountingTransducer:
     """
 
     #: States after which compilation begins anew, symbols that are read between two looks at their number, and words below which they are read one by one.
-    MOST, BATCH, FEW = 400_000, 100_000, 24
+    MOST, BATCH, FEW = 300_000, 100_000, 24
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
