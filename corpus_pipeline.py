@@ -36,7 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of their decoded text; no tokens for null or empty texts."""
-    return tokens.encode_decode(docs, texts=True, keep=("doc_id", "source")).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return tokens.encode_decode(docs, ids=True, keep=("doc_id", "source")).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

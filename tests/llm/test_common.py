@@ -1,5 +1,8 @@
 import random
+import re
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import common
@@ -26,3 +29,21 @@ def test_components_by_brute_force(spark, monkeypatch, limit):
     got = {x.node: x.component for x in common.components(frame).collect()}
     assert got == {x: find(x) for x in list(low)}
     assert common.components(frame.limit(0)).count() == 0
+
+
+def held():
+    return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+
+
+def test_workers_give_memory_back():
+    kept = []
+
+    def run(batches):
+        for batch in batches:
+            blocks = [b"x" * 100_000 for _ in range(2000)]  # of the heap, not mapped by themselves
+            kept.append(blocks[-1])  # so the heap can't shrink from its end
+            yield batch
+
+    before = held()
+    assert sum(b.num_rows for b in common.lean(run)(iter([pa.record_batch({"x": [1, 2]})] * 2))) == 4
+    assert held() - before < 60

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, drop, forest, map_text, text_slices, tidy, written
+from tidemark.llm.common import components, cut, drop, forest, lean, map_text, text_slices, tidy, written
 from tidemark.llm.lexing import hashes
 
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -430,9 +430,9 @@ def classes(docs: DataFrame, words: int, percent: int, text: str = "text", key:
         if len(odd) > RENAMED or len(renamed) > 8:
             raise RuntimeError("too many sets share an id")
         renamed = [*renamed, odd.column(0).to_numpy()]
-    signed = rows.select("text").mapInArrow(_indexed(words, percent, "text", **naming), "sig long, set_id long")
+    signed = rows.select("text").mapInArrow(lean(_indexed(words, percent, "text", **naming)), "sig long, set_id long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members, path = written(signed.repartition(parts, "sig").sortWithinPartitions("sig", "set_id").mapInArrow(_shared, "sig long, set_id long"))
+    members, path = written(signed.repartition(parts, "sig").sortWithinPartitions("sig", "set_id").mapInArrow(lean(_shared), "sig long, set_id long"))
     del signed
     tidy(docs.sparkSession)  # the signatures are the largest exchange here
     # The centre of a signature is its set with most signatures that others have too; a set is checked against the centre it meets most often.

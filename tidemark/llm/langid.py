@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, text_slices
+from tidemark.llm.common import cut, lean, text_slices
 
 UND = "und"
 BITS = 16
@@ -110,7 +110,7 @@ def _scored(rows: DataFrame, model: TrigramModel, keep: list[str], text: str, mo
                 values = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * s.shape[1], pa.int32()), pa.array(s.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)).slice(lo, hi - lo) for k in keep), values], [*keep, "lid__text"])
 
-    return rows.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{fields}, lid__text array<double>")
+    return rows.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run), f"{fields}, lid__text array<double>")
 
 
 def _best(scores: Column) -> Column:

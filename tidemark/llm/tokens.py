@@ -172,7 +172,7 @@ def _encoding(path: str, lowers: bool) -> tuple[Vocabulary, Splitter, Backtracki
     return vocabulary, Splitter(vocabulary, lowers), BacktrackingEncoder(vocabulary), Decoder(vocabulary), {}
 
 
-def encoder(path: str, lowers: bool, texts: bool):
+def encoder(path: str, lowers: bool, texts: bool, ids_too: bool = False):
     vocabulary, splitter, machine, decoder, known = _encoding(path, lowers)
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict:
@@ -202,8 +202,9 @@ def encoder(path: str, lowers: bool, texts: bool):
         decoded, stops = decoder.decode(ids)
         stops = np.concatenate([[0], stops])
         sliced = [(memoryview(ids[a:b]).cast("B"), decoded[stops[a] : max(stops[a], stops[b] - 1)]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-        if texts:
+        if texts or ids_too:
             out["ids"] = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32)))
+        if texts:
             out["decoded"] = pa.array([d.tobytes().decode() for _, d in sliced], pa.string())
         out["ids_sha256"] = pa.array([hashlib.sha256(i).hexdigest() for i, _ in sliced], pa.string())
         out["decoded_sha256"] = pa.array([hashlib.sha256(d).hexdigest() for _, d in sliced], pa.string())
@@ -212,8 +213,8 @@ def encoder(path: str, lowers: bool, texts: bool):
     return work
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Ids and decoded text of each row with the word tokenizer: their digests, and with texts=True ids and decoded themselves."""
+def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False, keep: tuple[str, ...] = ("doc_id",), text: str = "text", ids: bool = False) -> DataFrame:
+    """Ids and decoded text of each row with the word tokenizer: their digests, with ids=True the ids, and with texts=True ids and decoded themselves."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    whole = "ids array<int>, decoded string, " if texts else ""
-    return map_text(docs, list(keep), text, lambda: encoder(path, True, texts), f"n_tokens long, {whole}ids_sha256 string, decoded_sha256 string")
+    whole = "ids array<int>, " * (texts or ids) + "decoded string, " * texts
+    return map_text(docs, list(keep), text, lambda: encoder(path, True, texts, ids), f"n_tokens long, {whole}ids_sha256 string, decoded_sha256 string")
